@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash
+from . import bpe, mixing, simhash, substring, suffix
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_documents(spark, sf_dir)).drop("kept")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_documents(spark, sf_dir))
+
+
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_documents(spark, sf_dir)).drop("kept")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_documents(spark, sf_dir))
 
@@ -24,9 +36,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_substring": op2_substring,
+        "op4_bpe": op4_bpe,
+        "op5_suffix_array": op5_suffix_array,
         "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.MIXTURE_SQL}
+    return {
+        "op2_substring": substring.REPEATS_SQL,
+        "op5_suffix_array": suffix.REPEATS_SQL,
+        "op10_mixing": mixing.MIXTURE_SQL,
+    }
