@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, simhash, substring, suffix
+from . import ann, bpe, mixing, quality, secret_scan, simhash, substring, suffix, urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,22 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_documents(spark, sf_dir)).drop("kept")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(_documents(spark, sf_dir))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_documents(spark, sf_dir))
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_documents(spark, sf_dir))
 
@@ -39,6 +55,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring": op2_substring,
         "op4_bpe": op4_bpe,
         "op5_suffix_array": op5_suffix_array,
+        "op6_quality": op6_quality,
+        "op7_secrets": op7_secrets,
+        "op8_urls": op8_urls,
+        "op9_neighbours": op9_neighbours,
         "op10_mixing": op10_mixing,
     }
 
