@@ -250,6 +250,21 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, decoded string")
 
 
+def encode_checked(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, round_trip): as ``encode``, and whether the tokens decode to the text (null as empty)."""
+    ship(docs.sparkSession)
+    path = path or vocabulary_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load(path)
+        texts = ((i, t.as_py() or "") for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1)))
+        rows = ((i, len(c) // 4, c, model.decode(c) == t) for i, t in texts for c in [model.encode(t)])
+        yield from _batches(rows, [pa.int64(), pa.int64(), pa.binary(), pa.bool_()], ["doc_id", "n_tokens", "ids", "round_trip"], lambda r: len(r[2]))
+
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, round_trip boolean")
+
+
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row's tokens and of their text."""
     return decode(encode(docs, path), path).select(

@@ -22,10 +22,12 @@ SYMBOLS = b"#*$%&|<>"
 ENTROPY_BLOCK = 128
 CACHE_ENTRIES = 150_000
 
-#: Rejection bands: quartiles widened by REACH times their distance, and at least by this
-#: much. Characters per token as a share of the quartile, the others as they are.
-REACH = 3.0
-LEAST = {"chars_per_token": 0.10, "byte_share": 0.02, "token_entropy": 0.08}
+#: Rejection bands: quartiles widened by WHISKER times their distance, and by what short
+#: texts stray: this over the root of their number of tokens.
+WHISKER = 1.5
+STRAY = {"chars_per_token": 6.0, "byte_share": 0.5, "token_entropy": 0.55}
+#: Byte fallback is often zero throughout, so its band has a least width.
+LEAST_BYTES = 0.02
 #: Histogram steps of the measures; quartiles are exact to a step.
 STEP = {"chars_per_token": 0.01, "byte_share": 0.001, "token_entropy": 0.002}
 #: Groups with fewer measured texts take the bands of all texts.
@@ -187,9 +189,8 @@ def bands(measured: DataFrame, group: str = "band_group") -> DataFrame:
         low = F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bin"))) * F.lit(step)
         high = F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bin"))) * F.lit(step)
         quartiles = running.groupBy(group).agg(low.alias("q1"), high.alias("q3"), F.max("total").alias("total"))
-        share = name == "chars_per_token"
-        reach = lambda q: F.greatest(F.lit(REACH) * (F.col("q3") - F.col("q1")), F.lit(LEAST[name]) * (F.col(q) if share else F.lit(1.0)))
-        made = quartiles.select(group, (F.col("q1") - reach("q1")).alias(f"{name}_low"), (F.col("q3") + reach("q3")).alias(f"{name}_high"), *(["total"] if out is None else []))
+        reach = F.lit(WHISKER) * (F.col("q3") - F.col("q1"))
+        made = quartiles.select(group, (F.col("q1") - reach).alias(f"{name}_low"), (F.col("q3") + reach).alias(f"{name}_high"), *(["total"] if out is None else []))
         if out is None:
             out = made
         else:
@@ -205,7 +206,7 @@ def rules(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     windows. Of the others, a text is kept if it lies within the bands of its language
     (its main script, where ``lang`` is null or missing): characters per token on both
     sides, the share of byte-fallback tokens above, token entropy below. Bands are
-    computed over all texts given that pass the base rules; groups of fewer than
+    widened for short texts, whose measures stray, and computed over all texts given that pass the base rules; groups of fewer than
     LEAST_GROUP such texts take the bands of all. Null texts have no words and fail.
     Repeated rows and null ids come out as they went in. No rows: no rows.
     """
@@ -220,13 +221,17 @@ def rules(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     # One row of nine numbers, so a broadcast of known size.
     judged = measured.join(own, "band_group", "left").join(F.broadcast(every), how="left")
     limit = lambda c: F.coalesce(F.col(c), F.col(f"all_{c}"))
-    good = (
-        F.col("chars_per_token").between(limit("chars_per_token_low"), limit("chars_per_token_high"))
-        & (F.col("byte_share") <= limit("byte_share_high"))
-        & (F.col("token_entropy") >= limit("token_entropy_low"))
+    stray = lambda c: F.lit(STRAY[c]) / F.sqrt(F.greatest(F.col("n_tokens"), F.lit(1)))
+    below = lambda c: F.col(c) < limit(f"{c}_low") - stray(c)
+    above = lambda c: F.col(c) > limit(f"{c}_high") + stray(c)
+    bad = (
+        below("chars_per_token")
+        | above("chars_per_token")
+        | (F.col("byte_share") > limit("byte_share_high") + stray("byte_share") + LEAST_BYTES)
+        | below("token_entropy")
     )
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.coalesce(good, F.lit(True))).alias("kept"),
+        (~F.col("base_failed") & ~F.coalesce(bad, F.lit(False))).alias("kept"),
         "band_group", "n_tokens", "chars_per_token", "byte_share", "token_entropy",
     )

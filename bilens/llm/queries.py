@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, bpe, mixing, quality, secret_scan, simhash, substring, suffix, urls
+from . import ann, bpe, lines, mixing, quality, secret_scan, simhash, substring, suffix, urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,11 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_documents(spark, sf_dir)).drop("kept")
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir))
 
@@ -53,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_substring": op2_substring,
+        "op3_lines": op3_lines,
         "op4_bpe": op4_bpe,
         "op5_suffix_array": op5_suffix_array,
         "op6_quality": op6_quality,

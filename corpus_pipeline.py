@@ -1,14 +1,72 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline of five stages over ``documents``.
+
+Each stage takes all that its predecessor kept; all but the last return the columns of
+``documents``. Rejected documents go in the first stage, repeated lines in the second,
+all but one document of each near-duplicate group in the third; the fourth emits each
+document as often as the mix of sources takes it, the last encodes the result.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from bilens.llm import bpe, lines, mixing, quality, simhash
 
-STAGES = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: SQL cannot state the tokenisers, edit similarity and hashes; a brute-force version is in the tests.
 ORACLE_SQL = None
 
 
+def _named(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id ``kept`` (kept_id) names, or that have none."""
+    joined = docs.join(kept.hint("shuffle_hash"), docs["doc_id"] == kept["kept_id"], "left")
+    return joined.filter("kept_id IS NOT NULL OR doc_id IS NULL")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality rules keep; rows that repeat an id share its worst verdict, rows without an id stay."""
+    verdicts = quality.rules(docs).filter("doc_id IS NOT NULL")
+    kept = verdicts.groupBy(F.col("doc_id").alias("kept_id")).agg(F.min("kept").alias("kept")).filter("kept").drop("kept")
+    return _named(docs, kept).select(COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less the lines that another occurrence stands for; documents left without a word go."""
+    out = lines.dedup_lines(docs, keep=["lang", "source"])
+    out = out.withColumn("n_chars", F.length("text").cast("bigint"))
+    return out.filter((F.col("n_dropped") == 0) | F.col("text").rlike(mixing.WORD)).select(COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each near-duplicate component; rows without an id stay."""
+    kept = simhash.near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    # Rows that repeat a kept id are copies of one document; the first text stays.
+    first = Window.partitionBy("doc_id").orderBy("text", "lang", "source")
+    return _named(docs, kept).withColumn("copy", F.row_number().over(first)).filter("copy = 1 OR doc_id IS NULL").select(COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix to the target weights takes it."""
+    return mixing.mix(docs).select(COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of each emitted document; the tokens' text must be the document's."""
+    return bpe.encode_checked(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("mixing sources", mix_sources),
+    ("BPE encoding", encode),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
