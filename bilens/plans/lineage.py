@@ -40,7 +40,9 @@ def shortened(text: str, most: int = 40) -> str:
     if len(text) <= most:
         return text
     head = text[: most - 1]
-    return (head.rsplit(" ", 1)[0] if " " in head else head).rstrip(" ,;") + "…"
+    if " " in head and text[most - 1] != " ":
+        head = head.rsplit(" ", 1)[0]
+    return head.rstrip(" ,;") + "…"
 
 
 def described(lens: Lens) -> str:

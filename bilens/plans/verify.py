@@ -137,7 +137,10 @@ ORDER: tuple[Callable[[Entity], str | None], ...] = (
 def verify(entity: Entity) -> Entity:
     """The entity, or the first refusal."""
     for rule in ORDER:
-        message = rule(entity)
+        try:
+            message = rule(entity)
+        except DeclarationError as e:
+            message = str(e)
         if message:
             raise Refused(rule.__name__, message)
     return entity
