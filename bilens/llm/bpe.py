@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import ship
+from .storage import lean, ship
 
 #: Fixed: how the vocabulary's published pre-tokeniser cuts a text.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -234,7 +234,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         yield from _batches(((i, len(c) // 4, c) for i, c in rows), [pa.int64(), pa.int64(), pa.binary()], ["doc_id", "n_tokens", "ids"], lambda r: len(r[2]))
 
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
+    return source.mapInArrow(lean(run), "doc_id bigint, n_tokens bigint, ids binary")
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
@@ -247,7 +247,7 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
         rows = ((i, n, c.as_py(), model.decode(c.as_py() or b"")) for b in batches for i, n, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)))
         yield from _batches(rows, [pa.int64(), pa.int64(), pa.binary(), pa.string()], ["doc_id", "n_tokens", "ids", "decoded"], lambda r: 2 * len(r[2] or b""))
 
-    return coded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, decoded string")
+    return coded.select("doc_id", "n_tokens", "ids").mapInArrow(lean(run), "doc_id bigint, n_tokens bigint, ids binary, decoded string")
 
 
 def encode_checked(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,7 +262,7 @@ def encode_checked(docs: DataFrame, path: str | None = None, id_col: str = "doc_
         yield from _batches(rows, [pa.int64(), pa.int64(), pa.binary(), pa.bool_()], ["doc_id", "n_tokens", "ids", "round_trip"], lambda r: len(r[2]))
 
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, round_trip boolean")
+    return source.mapInArrow(lean(run), "doc_id bigint, n_tokens bigint, ids binary, round_trip boolean")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import ship, stored
+from .storage import lean, ship, stored
 
 MIN_WORDS = 50
 #: Percent of words inside repeated three-word windows above which a text fails.
@@ -164,7 +164,7 @@ def measures(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", t
                 [batch.column(0), *(pa.array(x, k) for x, k in zip(columns, kinds))], names=[x.split()[0] for x in MEASURES.split(", ")]
             )
 
-    return source.mapInArrow(run, MEASURES)
+    return source.mapInArrow(lean(run), MEASURES)
 
 
 def bands(measured: DataFrame, group: str = "band_group") -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import ship
+from .storage import lean, ship
 
 #: Fixed forms of secrets, in the order of their kinds.
 KINDS = ("assign", "access", "hex", "random")
@@ -102,4 +102,4 @@ def scan(docs: DataFrame, path: str | None = None, pattern: str | None = None, i
             )
 
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)

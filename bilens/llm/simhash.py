@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import cut, ship
+from .storage import cut, lean, ship
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 2
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             made = [fingerprint(t.as_py(), width) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=["id", "fp"])
 
-    return source.mapInArrow(run, "id bigint, fp bigint")
+    return source.mapInArrow(lean(run), "id bigint, fp bigint")
 
 
 def fingerprint_links(codes: DataFrame, dense: int = DENSE_BUCKET) -> DataFrame:

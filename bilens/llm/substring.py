@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .storage import parallelism, ship
+from .storage import lean, parallelism, ship
 
 WINDOW_WORDS = 13
 #: Words of a minimiser; single words and pairs can be too common to spread windows.
@@ -152,10 +152,10 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = parallelism(spark)
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     return (
-        source.mapInArrow(_pack(parts * packed.BUCKETS_PER_PARTITION, span, min(gram, span)), packed.PACKED_SCHEMA)
+        source.mapInArrow(lean(_pack(parts * packed.BUCKETS_PER_PARTITION, span, min(gram, span))), packed.PACKED_SCHEMA)
         .repartition(parts, "bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(_later_copies(span), packed.RANGES_SCHEMA)
+        .mapInArrow(lean(_later_copies(span)), packed.RANGES_SCHEMA)
     )
 
 
@@ -178,7 +178,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id. Further columns are ignored; no rows give no rows.
     """
     ranges = repeated_ranges(docs, id_col, text_col, span)
-    return with_ranges(docs, ranges, id_col, text_col).mapInArrow(_cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    return with_ranges(docs, ranges, id_col, text_col).mapInArrow(lean(_cut), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
 
 
 REPEATS_SQL = r"""

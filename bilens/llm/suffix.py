@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .storage import parallelism, ship
+from .storage import lean, parallelism, ship
 from .substring import with_ranges
 
 MATCH_BYTES = 400
@@ -308,10 +308,10 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = parallelism(spark)
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     return (
-        source.mapInArrow(_pack(parts * packed.BUCKETS_PER_PARTITION, match, gram), packed.PACKED_SCHEMA)
+        source.mapInArrow(lean(_pack(parts * packed.BUCKETS_PER_PARTITION, match, gram)), packed.PACKED_SCHEMA)
         .repartition(parts, "bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(_repeats(match, gram), packed.RANGES_SCHEMA)
+        .mapInArrow(lean(_repeats(match, gram)), packed.RANGES_SCHEMA)
     )
 
 
@@ -331,7 +331,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     ranges = repeated_ranges(docs, id_col, text_col, match)
     return with_ranges(docs, ranges, id_col, text_col).mapInArrow(
-        _cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+        lean(_cut), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     )
 
 

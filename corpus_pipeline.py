@@ -20,6 +20,7 @@ ORACLE_SQL = None
 
 def _named(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id ``kept`` (kept_id) names, or that have none."""
+    docs = docs.select(COLUMNS)
     joined = docs.join(kept.hint("shuffle_hash"), docs["doc_id"] == kept["kept_id"], "left")
     return joined.filter("kept_id IS NOT NULL OR doc_id IS NULL")
 
