@@ -50,31 +50,31 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MAX_
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, weights: Sequence[int] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
-    """``docs`` with size, source_size, target and copies (how often the mix takes the row).
+    """(doc_id, size, source_size, target, copies, row): how often the mix takes each row of ``docs``, and the row.
 
     Rate = target / source_size. A document is taken floor(rate) times, and once more
     if the hash of its seed and id, as a number in [0, 1), is below the fraction; so
     reruns agree, and repeated rows with one id fare alike. Null texts have size 0,
-    null ids hash as the word ``null``, null sources are one source. Input columns of
-    the added names are replaced. No rows: no rows.
+    null ids hash as the word ``null``, null sources are one source; in a source of
+    size 0 no row is taken. ``row`` holds all columns of the input, whatever their names.
+    No rows: no rows.
     """
-    added = ("size", "source_size", "target", "copies")
-    base = docs.drop(*[c for c in added if c not in (id_col, text_col, source_col)])
-    sized = base.withColumn("size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint"))
-    per_source = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"))
-    plan = targets(per_source, weights, most).withColumnsRenamed({"source": "mix_source"})
-    joined = sized.join(plan, sized[source_col].eqNullSafe(plan["mix_source"])).drop("mix_source")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), whole.alias("row"))
+    plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most).withColumnRenamed("source", "mix_source")
+    joined = sized.join(plan, sized["source"].eqNullSafe(plan["mix_source"]))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     draw = F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
     extra = F.when(draw < rate - F.floor(rate), F.lit(1)).otherwise(F.lit(0))
-    return joined.withColumn("copies", F.least(F.floor(rate) + extra, F.lit(most)).cast("bigint"))
+    return joined.select("doc_id", "size", "source_size", "target", F.least(F.floor(rate) + extra, F.lit(most)).cast("bigint").alias("copies"), "row")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix takes it, in its own columns."""
-    taken = copies(docs, **options)
-    return taken.filter("copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = copies(docs, **options).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
