@@ -14,7 +14,7 @@ from .model import LEGACY_ID, Entity, Field, LegacyTable, Phase, Relationship, S
 from .operators import backfill, changes, check, reconcile
 from .operators.put import as_upsert, put
 from .operators.roundtrip import lost
-from .operators.view import find, modern_view, reverse_view
+from .operators.view import find, modern_view, page, reverse_view
 from .plans import lineage, mechanism, obligations
 from .plans import mappings as M
 from .plans.verify import refusals, verify
@@ -529,6 +529,7 @@ def _table() -> dict[str, tuple[_Q, str | None]]:
         ('region', 'r_name', 'region', 'DIRECT', 'IDENTITY'), ('orders', 'o_custkey', 'region', 'INDIRECT', 'JOIN'), ('customer', 'c_custkey', 'region', 'INDIRECT', 'JOIN'), ('customer', 'c_nationkey', 'region', 'INDIRECT', 'JOIN'), ('nation', 'n_nationkey', 'region', 'INDIRECT', 'JOIN'),
         ('nation', 'n_regionkey', 'region', 'INDIRECT', 'JOIN'), ('region', 'r_regionkey', 'region', 'INDIRECT', 'JOIN'), ('orders', 'o_orderpriority', 'priority', 'DIRECT', 'IDENTITY')) AS v(from_relation, from_column, to_attribute, type, subtype)""")
     t["openlineage_fields"] = (lambda spark, sf: lineage.facet_fields_frame(spark, CONSTANTS, "warehouse"), "SELECT * FROM (VALUES ('id', 'region.r_regionkey', 'DIRECT'), ('name', 'region.r_name', 'DIRECT'), ('tenant', NULL, NULL), ('note', NULL, NULL), ('visits', NULL, NULL)) AS v(field, input, types)")
+    t["keyset_page"] = (lambda spark, sf: page(modern_view(PLAIN_ORDERS, _load(spark, sf), [LEGACY_ID, "priority"]), 100, 50), "SELECT o_orderkey AS __legacy_id, o_orderpriority AS priority FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 50")
     t["lens_pushdown"] = (lambda spark, sf: find(PLAIN_ORDERS, _load(spark, sf), "status_code", 1, ["id", "status_code"]), "SELECT o_orderkey AS id, 1 AS status_code FROM orders WHERE o_orderstatus = 'F'")
     t["lens_pushdown_affine"] = (lambda spark, sf: find(CENTS, _load(spark, sf), "cents", Decimal(90010), ["id", "cents"]), "SELECT p_partkey AS id, (p_retailprice::DECIMAL(12,2) * 100)::DECIMAL(14,0) AS cents FROM part WHERE p_retailprice::DECIMAL(12,2) = 900.10")
     return t

@@ -136,6 +136,12 @@ def reverse_view(entity: Entity, modern: DataFrame, legacy_id: str = "legacy_id"
     return modern.select(*out)
 
 
+def page(view: DataFrame, after: Any = None, size: int = 1000, key: str = LEGACY_ID) -> DataFrame:
+    """The ``size`` rows of least key above ``after``: a page that the last one's greatest key leads to."""
+    rows = view if after is None else view.filter(F.col(quoted(key)) > F.lit(after))
+    return rows.orderBy(quoted(key)).limit(size)
+
+
 def register(df: DataFrame, name: str) -> None:
     """Make a view readable by SQL under ``name``."""
     df.createOrReplaceTempView(name)

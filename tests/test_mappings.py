@@ -14,7 +14,7 @@ from bilens.functions import expr as E
 from bilens.functions.compile import bare, compile, literal
 from bilens.functions.keys import uuid5_column, uuid5_value
 from bilens.model import DeclarationError, Entity, Field, LegacyTable, Phase, Relationship, Source, spark_type, storage_type
-from bilens.plans import diagram, lineage, mechanism, migration, obligations
+from bilens.plans import diagram, info, lineage, mechanism, migration, obligations
 from bilens.plans import mappings as M
 from bilens.plans.lens import inverse_literal, lenses
 from bilens.plans.verify import ORDER, Refused, refusals, verify
@@ -395,3 +395,17 @@ def test_descriptions(spark):
 )
 def test_check_clauses(clause, expected):
     assert check_domain(clause) == expected
+
+
+def test_introspection(spark, sf):
+    from bilens.sources.tables import parquet
+
+    assert info.bound(C.PLACES) and info.relation(C.PLACES) == "orders" and info.primary_alias() == "legacy"
+    assert info.joins(C.PLACES) == [("customer",), ("customer", "nation"), ("customer", "nation", "region")]
+    assert info.join_aliases(C.PLACES)["customer", "nation"] == "legacy__customer__nation"
+    assert [m.attribute for m in info.mappings(C.CONSTANTS)] == ["name"] and len(info.constants(C.CONSTANTS)) == 1 and len(info.unmapped(C.CONSTANTS)) == 2
+    assert info.accounted_for(C.CONSTANTS) == {"id", "name", "tenant", "note", "visits"}
+    assert (info.writes(C.PLACES), info.on_update(C.EDIT_ORDERS), info.notifies(C.MODERN_ORDERS), info.interlocked(C.PLACES)) == ("triggers", "changed_columns", True, False)
+    assert info.channel(C.MODERN_ORDERS) == info.DEFAULT_CHANNEL
+    schema = info.view_schema(C.MODERN_ORDERS, parquet(spark, sf))
+    assert {f.name: f.dataType.simpleString() for f in schema} == info.declared_schema(C.MODERN_ORDERS)
