@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import cut, lean, ship
+from .storage import cut, lean, ship, stored
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 2
@@ -115,12 +115,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest unless all of a component's ids are null. Repeated rows and ids come out
     as often as they went in; further columns are ignored. No rows: no rows.
     """
-    prints = cut(fingerprints(docs, id_col, text_col, width))
+    prints = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
     codes = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
     labels = connected_components(fingerprint_links(codes.select("fp")))
     joined = labels.join(codes, labels["node"] == codes["fp"]).select("node", "label", "least")
     found = joined.join(joined.groupBy("label").agg(F.min("least").alias("component")), "label").select(F.col("node").alias("fp"), "component")
-    of_code = codes.join(found, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    # Stored, so that both sides of the last join are dealt anew and a code of many copies can be split.
+    of_code = stored(codes.join(found, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "components")
     return prints.join(of_code, "fp").select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
