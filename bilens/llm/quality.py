@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import lean, ship, stored
+from .storage import cut, lean, ship, stored
 
 MIN_WORDS = 50
 #: Percent of words inside repeated three-word windows above which a text fails.
@@ -32,6 +32,8 @@ LEAST_BYTES = 0.02
 STEP = {"chars_per_token": 0.01, "byte_share": 0.001, "token_entropy": 0.002}
 #: Groups with fewer measured texts take the bands of all texts.
 LEAST_GROUP = 30
+#: Groups whose bands are broadcast at most; beyond it they are joined by a shuffle.
+BROADCAST_GROUPS = 10_000
 
 
 def repeated_words(words: list[bytes], width: int = 3) -> int:
@@ -199,6 +201,15 @@ def bands(measured: DataFrame, group: str = "band_group") -> DataFrame:
     return out
 
 
+def settled(limits: DataFrame) -> DataFrame:
+    """The bands of each group, those of all texts where a group is small: a row per group with texts that pass."""
+    whole = Window.partitionBy()
+    names = [c for c in limits.columns if c not in ("band_group", "total")]
+    every = lambda c: F.max(F.when(F.col("band_group").isNull(), F.col(c))).over(whole)
+    chosen = [F.when(F.col("total") >= LEAST_GROUP, F.col(c)).otherwise(every(c)).alias(c) for c in names]
+    return limits.select("band_group", *chosen).filter("band_group IS NOT NULL")
+
+
 def rules(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Counts, measures and verdict of each row of ``docs``.
 
@@ -214,13 +225,12 @@ def rules(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     )
     measured = stored(measured, "quality")
-    limits = bands(measured)
-    own = limits.filter(F.col("band_group").isNotNull() & (F.col("total") >= LEAST_GROUP)).drop("total")
-    every = limits.filter(F.col("band_group").isNull()).drop("band_group", "total")
-    every = every.withColumnsRenamed({c: f"all_{c}" for c in every.columns})
-    # One row of nine numbers, so a broadcast of known size.
-    judged = measured.join(own, "band_group", "left").join(F.broadcast(every), how="left")
-    limit = lambda c: F.coalesce(F.col(c), F.col(f"all_{c}"))
+    limits = cut(settled(bands(measured)))
+    # Languages are few and hold most rows each, so dealing rows by language is avoided where that is checked.
+    if limits.count() <= BROADCAST_GROUPS:
+        limits = F.broadcast(limits)
+    judged = measured.join(limits, "band_group", "left")
+    limit = F.col
     stray = lambda c: F.lit(STRAY[c]) / F.sqrt(F.greatest(F.col("n_tokens"), F.lit(1)))
     below = lambda c: F.col(c) < limit(f"{c}_low") - stray(c)
     above = lambda c: F.col(c) > limit(f"{c}_high") + stray(c)
