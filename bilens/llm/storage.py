@@ -37,10 +37,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_made: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``stored`` made in this process, when nothing reads them any more; their number."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Compute ``df`` once into a Parquet table in the shared folder and read it back."""
+    """Compute ``df`` once into a Parquet table in the shared folder and read it back; ``release`` deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/bilens-{label}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
