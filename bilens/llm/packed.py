@@ -3,9 +3,13 @@
 A window is ``span`` consecutive units (words or bytes). Its minimiser is the least
 hash among the ``gram``-unit pieces inside it, so equal windows have equal
 minimisers and meet in the same bucket; a run of windows with one minimiser travels
-as the one string that covers them. Each map task first merges equal strings, so a
-string that a third of all documents share is sent once per task with a compressed
-list of places, not once per document.
+as the one string that covers them. Each map task first merges equal strings.
+
+A string that a third of all documents share must not bring all its places to one
+task. So of a string with more than HOT_PLACES places in what a map task holds, two
+places travel with the string, and the others by themselves, dealt evenly, under a
+128-bit hash of the string; the string's bucket then says, under that hash, which of
+its windows are repeats, and a join tells the places, a join whose hot keys Spark splits.
 """
 
 from __future__ import annotations
@@ -14,7 +18,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .storage import lean, parallelism, stored
 
 #: Windows in one string at most; longer runs are cut, which does not move any window's bucket.
 LONGEST_RUN = 1024
@@ -24,41 +33,54 @@ BUCKETS_PER_PARTITION = 8
 SCAN_BYTES = 1 << 20
 #: Packed bytes held before buckets are written out.
 FLUSH_BYTES = 24 << 20
+#: Places of one string in one flush beyond which they travel apart from it.
+HOT_PLACES = 256
 
 _M1, _M2, _R = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= _M1
+    x ^= x >> np.uint64(27)
+    x *= _M2
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, np.uint64(base & (2**64 - 1)))
-    out[0] = 1
+    out[:1] = 1
     return np.multiply.accumulate(out)
 
 
-class PrefixHash:
-    """Hashes of pieces of a sequence from running sums modulo 2**64."""
+#: Units hashed together; the tables of powers are this long, but for a longer single piece.
+HASH_UNITS = 1 << 18
+_FORWARD, _BACK = _powers(_R, HASH_UNITS + 1), _powers(pow(_R, -1, 2**64), HASH_UNITS + 1)
 
-    _forward = _powers(_R, 1 << 10)
-    _back = _powers(pow(_R, -1, 2**64), 1 << 10)
 
-    @classmethod
-    def _grow(cls, n: int) -> None:
-        if len(cls._forward) < n:
-            cls._forward, cls._back = _powers(_R, n * 2), _powers(pow(_R, -1, 2**64), n * 2)
+def piece_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of pieces of a sequence of bytes or 64-bit values, from running sums modulo 2**64.
 
-    def __init__(self, values: np.ndarray) -> None:
-        self._grow(len(values) + 1)
-        self._sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self._forward[: len(values)], out=self._sums[1:])
-
-    def pieces(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix64((self._sums[ends] - self._sums[starts]) * self._back[starts])
+    Pieces come in order of their starts and ends and may overlap. Memory is that of
+    HASH_UNITS values or the longest piece.
+    """
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, low + HASH_UNITS, side="right")))
+        some = values[low : int(ends[to - 1])]
+        some = some.astype(np.uint64) + np.uint64(1) if some.dtype == np.uint8 else some
+        n = len(some)
+        forward, back = (_FORWARD, _BACK) if n <= HASH_UNITS else (_powers(_R, n + 1), _powers(pow(_R, -1, 2**64), n + 1))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(some * forward[:n], out=sums[1:])
+        first = starts[at:to] - low
+        out[at:to] = mix64((sums[ends[at:to] - low] - sums[first]) * back[first])
+        at = to
+    return out
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -102,11 +124,11 @@ def _unplanes(data: memoryview, n: int) -> np.ndarray:
 class Packer:
     """Collects (bucket, string, document, place) and writes a blob for each bucket."""
 
-    def __init__(self, buckets: int) -> None:
-        self.buckets, self.size = buckets, 0
+    def __init__(self, buckets: int, hot: int = HOT_PLACES) -> None:
+        self.buckets, self.hot, self.size = buckets, hot, 0
         self.strings: list[bytes] = []
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.zip = zstandard.ZstdCompressor(level=3)
+        self.zip = zstandard.ZstdCompressor(level=6)
 
     def add(self, minimisers: np.ndarray, strings: list[bytes], docs: np.ndarray, places: np.ndarray) -> None:
         self.strings += strings
@@ -126,13 +148,26 @@ class Packer:
         keys, blobs = [], []
         for part in np.split(order, cuts):
             known: dict[bytes, int] = {}
-            ids = [known.setdefault(strings[i], len(known)) for i in part.tolist()]
+            ids = np.array([known.setdefault(strings[i], len(known)) for i in part.tolist()], np.int64)
+            much = np.flatnonzero(np.bincount(ids) > max(2, self.hot))
+            mine_docs, mine_places = docs[part], places[part]
+            if len(much):
+                names, apart = list(known), np.zeros(len(ids), bool)
+                for s in much.tolist():
+                    own = np.flatnonzero(ids == s)
+                    own = own[np.argsort(mine_docs[own], kind="stable")][2:]
+                    apart[own] = True
+                    key, blob = self._apart(names[s], mine_docs[own], mine_places[own])
+                    keys.append(key)
+                    blobs.append(blob)
+                ids, mine_docs, mine_places = ids[~apart], mine_docs[~apart], mine_places[~apart]
             body = [
-                np.array([len(known), len(ids)], "<i8").tobytes(),
+                np.array([len(known), len(ids), len(much)], "<i8").tobytes(),
                 _planes(np.fromiter(map(len, known), np.int64, len(known))),
-                _planes(np.array(ids, np.int64)),
-                _planes(docs[part]),
-                _planes(places[part]),
+                _planes(ids),
+                _planes(mine_docs),
+                _planes(mine_places),
+                _planes(much),
                 b"".join(known),
             ]
             keys.append(int(buckets[part[0]]))
@@ -141,61 +176,114 @@ class Packer:
             yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 64], pa.int32()), pa.array(blobs[at : at + 64], pa.binary())], names=["bucket", "blob"])
 
 
+    def _apart(self, string: bytes, docs: np.ndarray, places: np.ndarray) -> tuple[int, bytes]:
+        """Places without their string, for a bucket that only their documents choose."""
+        spread = int(mix64(docs[:1].astype(np.uint64) + np.uint64(len(docs)))[0] % np.uint64(self.buckets))
+        body = [*(x.to_bytes(8, "little", signed=True) for x in string_hash(string)), len(docs).to_bytes(8, "little"), _planes(docs), _planes(places)]
+        return self.buckets + spread, self.zip.compress(b"".join(body))
+
+
+def string_hash(string: bytes) -> tuple[int, int]:
+    """128 bits as two signed numbers."""
+    digest = xxhash.xxh3_128_digest(string)
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+
+
 PACKED_SCHEMA = "bucket int, blob binary"
 
 
-def unpack(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Strings, and for each place: the string's number, the document, the place."""
+def unpack(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Strings; for each place the string's number, the document and the place; numbers of strings with places apart."""
     data = memoryview(zstandard.ZstdDecompressor().decompress(blob))
-    n, m = np.frombuffer(data[:16], "<i8").tolist()
-    at = 16
-    lens = _unplanes(data[at : at + 8 * n], n)
-    at += 8 * n
-    ids, docs, places = (_unplanes(data[at + 8 * m * k : at + 8 * m * (k + 1)], m) for k in range(3))
-    at += 24 * m
-    body, ends = bytes(data[at:]), np.cumsum(lens).tolist()
-    return [body[a:b] for a, b in zip([0, *ends], ends)], ids, docs, places
-
-
-def gather(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct strings of a bucket and all places, over its blobs."""
+    n, m, k = np.frombuffer(data[:24], "<i8").tolist()
+    at, columns = 24, []
+    for size in (n, m, m, m, k):
+        columns.append(_unplanes(data[at : at + 8 * size], size))
+        at += 8 * size
+    body, ends = bytes(data[at:]), np.cumsum(columns[0]).tolist()
+    return [body[a:b] for a, b in zip([0, *ends], ends)], *columns[1:]
+
+
+def gather(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct strings of a bucket and all places, over its blobs; numbers of strings with places apart."""
     known: dict[bytes, int] = {}
     parts = []
     for blob in blobs:
-        strings, ids, docs, places = unpack(blob)
+        strings, ids, docs, places, hot = unpack(blob)
         mine = np.array([known.setdefault(s, len(known)) for s in strings], np.int64)
-        parts.append((mine[ids], docs, places))
-    ids, docs, places = (np.concatenate(x) for x in zip(*parts))
-    return list(known), ids, docs, places
+        parts.append((mine[ids], docs, places, mine[hot]))
+    ids, docs, places, hot = (np.concatenate(x) for x in zip(*parts))
+    return list(known), ids, docs, places, np.unique(hot)
+
+
+#: A range: document, start, length. A place apart: document, start, and its string's hash. A
+#: verdict: the string's hash, start and length of a run of repeats, for documents above ``above``.
+FOUND_SCHEMA = "range_doc bigint, start bigint, length bigint, h1 bigint, h2 bigint, above bigint"
+_FOUND = ["range_doc", "start", "length", "h1", "h2", "above"]
+#: Below every document.
+ANY = -(1 << 63)
+
 
+def _found(n: int, **columns) -> Iterator[pa.RecordBatch]:
+    for at in range(0, n, 100_000):
+        end = min(n, at + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(columns[c][at:end], pa.int64()) if c in columns else pa.nulls(end - at, pa.int64()) for c in _FOUND], names=_FOUND)
 
-RANGES_SCHEMA = "range_doc bigint, start bigint, length bigint"
 
+def verdicts(strings: list[bytes], hot: np.ndarray, runs_of: Callable[[int], Iterator[tuple[int, int, int]]]) -> dict[str, list[int]]:
+    """The runs (start, length, above) of each string with places apart, under its hash."""
+    out: dict[str, list[int]] = {c: [] for c in ("h1", "h2", "start", "length", "above")}
+    for s in hot.tolist():
+        h1, h2 = string_hash(strings[s])
+        for run in runs_of(s):
+            for c, x in zip(out, (h1, h2, *run)):
+                out[c].append(x)
+    return out
 
-def by_bucket(work: Callable[[list[bytes]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]):
+
+def by_bucket(buckets: int, work: Callable[[list[bytes]], Iterator[dict]]):
     """A mapInArrow function for partitions sorted by bucket: one bucket's blobs at a time."""
 
-    def batches_of(out) -> Iterator[pa.RecordBatch]:
-        for docs, starts, lengths in out:
-            for at in range(0, len(docs), 100_000):
-                part = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x[part], pa.int64()) for x in (docs, starts, lengths)], names=["range_doc", "start", "length"])
+    def places(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        for blob in blobs:
+            data = memoryview(zstandard.ZstdDecompressor().decompress(blob))
+            h1, h2 = (int.from_bytes(data[k : k + 8], "little", signed=True) for k in (0, 8))
+            n = int.from_bytes(data[16:24], "little")
+            docs, starts = _unplanes(data[24 : 24 + 8 * n], n), _unplanes(data[24 + 8 * n :], n)
+            yield from _found(n, range_doc=docs, start=starts, h1=np.full(n, h1), h2=np.full(n, h2))
+
+    def of(key: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if key >= buckets:
+            yield from places(blobs)
+            return
+        for columns in work(blobs):
+            yield from _found(len(columns["start"]), **columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, blobs = None, []
         for batch in batches:
             for key, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if key != current and blobs:
-                    yield from batches_of(work(blobs))
+                    yield from of(current, blobs)
                     blobs = []
                 current = key
                 blobs.append(blob.as_py())
         if blobs:
-            yield from batches_of(work(blobs))
+            yield from of(current, blobs)
 
     return run
 
 
+def ranges(packed_rows: DataFrame, buckets: int, work: Callable[[list[bytes]], Iterator[dict]], label: str) -> DataFrame:
+    """(range_doc, start, length) from packed rows: each bucket's work, and the places that travelled apart."""
+    dealt = packed_rows.repartition(parallelism(packed_rows.sparkSession), "bucket").sortWithinPartitions("bucket")
+    found = stored(dealt.mapInArrow(lean(by_bucket(buckets, work)), FOUND_SCHEMA), label)
+    apart = found.filter("h1 IS NOT NULL AND length IS NULL").select("range_doc", F.col("start").alias("place"), "h1", "h2")
+    said = found.filter("h1 IS NOT NULL AND length IS NOT NULL").select("h1", "h2", "start", "length", "above")
+    told = apart.join(said, ["h1", "h2"]).filter("range_doc > above").select("range_doc", (F.col("place") + F.col("start")).alias("start"), "length")
+    return found.filter("h1 IS NULL").select("range_doc", "start", "length").unionByName(told)
+
+
 def covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Which of n units some range covers; ranges are clipped to n."""
     edge = np.zeros(n + 1, np.int64)

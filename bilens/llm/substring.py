@@ -25,7 +25,7 @@ def _word_hashes(flat: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     buf = np.frombuffer(flat, np.uint8)
     ends = np.append(np.flatnonzero((buf == _SPACE) | (buf == _LINE)), len(buf))
     starts = np.concatenate(([0], ends[:-1] + 1))
-    return starts, ends, packed.PrefixHash(buf.astype(np.uint64) + np.uint64(1)).pieces(starts, ends)
+    return starts, ends, packed.piece_hashes(buf, starts, ends)
 
 
 def _pieces(words: list[bytes], span: int, most: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -39,7 +39,7 @@ def _scan(flat: list[bytes], counts: list[int], docs: list[int], bases: list[int
     starts, ends, hashes = _word_hashes(text)
     n = np.array(counts)
     first = np.cumsum(n) - n
-    grams = packed.PrefixHash(hashes).pieces(np.arange(len(hashes) - gram + 1), np.arange(gram, len(hashes) + 1))
+    grams = packed.piece_hashes(hashes, np.arange(len(hashes) - gram + 1), np.arange(gram, len(hashes) + 1))
     least = packed.sliding_min(grams, span - gram + 1)
     last = np.repeat(first + n - span, n)[: len(least)]
     begin, length, value = packed.runs(least, np.arange(len(least)) <= last)
@@ -49,9 +49,9 @@ def _scan(flat: list[bytes], counts: list[int], docs: list[int], bases: list[int
         packer.add(value, [text[i:j] for i, j in zip(a, b)], np.array(docs)[piece], np.array(bases)[piece] + begin - first[piece])
 
 
-def _pack(buckets: int, span: int, gram: int):
+def _pack(buckets: int, span: int, gram: int, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = packed.Packer(buckets)
+        packer = packed.Packer(buckets, hot)
         held: tuple[list, list, list, list] = ([], [], [], [])
         size = 0
         for batch in batches:
@@ -79,8 +79,8 @@ def _pack(buckets: int, span: int, gram: int):
 def _later_copies(span: int):
     """For a bucket: the runs of words whose windows also start in a smaller document."""
 
-    def work(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        strings, ids, docs, places = packed.gather(blobs)
+    def work(blobs: list[bytes]) -> Iterator[dict]:
+        strings, ids, docs, places, hot = packed.gather(blobs)
         text = b"\n".join(strings)
         starts, ends, hashes = _word_hashes(text)
         words = np.fromiter((s.count(b" ") + 1 for s in strings), np.int64, len(strings))
@@ -91,7 +91,7 @@ def _later_copies(span: int):
         least = np.full(len(strings), np.iinfo(np.int64).max)
         np.minimum.at(least, ids, docs)
         # Sort windows by hash; only those that have an equal can be repeats, and bytes decide.
-        keys = packed.PrefixHash(hashes).pieces(begin, begin + span)
+        keys = packed.piece_hashes(hashes, begin, begin + span)
         order = np.argsort(keys)
         same = keys[order][1:] == keys[order][:-1]
         twin = np.zeros(len(order), bool)
@@ -108,7 +108,7 @@ def _later_copies(span: int):
             of_window[repeats] = smallest[name]
         low, high = np.minimum.reduceat(of_window, offset), np.maximum.reduceat(of_window, offset)
         whole = docs > high[ids]
-        yield docs[whole], places[whole], windows[ids[whole]] + span - 1
+        yield {"range_doc": docs[whole], "start": places[whole], "length": windows[ids[whole]] + span - 1}
         some = np.flatnonzero(~whole & (docs > low[ids]))
         out: tuple[list, list, list] = ([], [], [])
         for k in some.tolist():
@@ -118,10 +118,18 @@ def _later_copies(span: int):
             out[0].extend([d] * len(on))
             out[1].extend((places[k] + on).tolist())
             out[2].extend((off - on + span - 1).tolist())
-        if out[0]:
-            yield tuple(np.array(x, np.int64) for x in out)
+        yield dict(zip(("range_doc", "start", "length"), out))
 
-    return packed.by_bucket(work)
+        def runs_of(s: int) -> Iterator[tuple[int, int, int]]:
+            """Runs of windows whose least document is one; it is a repeat in all greater ones."""
+            mine = of_window[offset[s] : offset[s] + windows[s]]
+            first = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+            for k, n in zip(first.tolist(), np.diff(np.append(first, len(mine))).tolist()):
+                yield k, n + span - 1, int(mine[k])
+
+        yield packed.verdicts(strings, hot, runs_of)
+
+    return work
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,18 +153,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = WINDOW_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
+def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = WINDOW_WORDS, gram: int = GRAM_WORDS, hot: int = packed.HOT_PLACES) -> DataFrame:
     """(range_doc, start, length): runs of words to cut, which may overlap."""
     spark = docs.sparkSession
     ship(spark)
-    parts = parallelism(spark)
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return (
-        source.mapInArrow(lean(_pack(parts * packed.BUCKETS_PER_PARTITION, span, min(gram, span))), packed.PACKED_SCHEMA)
-        .repartition(parts, "bucket")
-        .sortWithinPartitions("bucket")
-        .mapInArrow(lean(_later_copies(span)), packed.RANGES_SCHEMA)
-    )
+    buckets = parallelism(spark) * packed.BUCKETS_PER_PARTITION
+    rows = source.mapInArrow(lean(_pack(buckets, span, min(gram, span), hot)), packed.PACKED_SCHEMA)
+    return packed.ranges(rows, buckets, _later_copies(span), "words")
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -166,7 +170,7 @@ def with_ranges(docs: DataFrame, ranges: DataFrame, id_col: str, text_col: str)
     return source.join(grouped.hint("shuffle_hash"), source["id"] == grouped["range_doc"], "left").select("id", "text", "ranges")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = WINDOW_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = WINDOW_WORDS, hot: int = packed.HOT_PLACES) -> DataFrame:
     """Cut each word that a window which also starts in a document of smaller id covers.
 
     Returns doc_id, n_words, n_removed, kept_sha256 and kept (the kept words joined by
@@ -177,7 +181,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the search: they do not cut each other, and each loses the ranges found under the
     id. Further columns are ignored; no rows give no rows.
     """
-    ranges = repeated_ranges(docs, id_col, text_col, span)
+    ranges = repeated_ranges(docs, id_col, text_col, span, hot=hot)
     return with_ranges(docs, ranges, id_col, text_col).mapInArrow(lean(_cut), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
 
 

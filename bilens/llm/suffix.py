@@ -22,7 +22,7 @@ PERIOD = 16
 #: Suffixes sorted together at most, unless one bucket alone has more.
 BLOCK_SUFFIXES = 1 << 19
 #: Stands for a null id in packed places.
-NO_ID = -(1 << 63)
+NO_ID = -(1 << 63) + 1
 
 
 def difference_cover(period: int) -> list[int]:
@@ -69,7 +69,7 @@ class CoverSample:
         buf = np.frombuffer(text + bytes(match + 2 * PERIOD), np.uint8)
         self.word = np.ndarray(len(buf) - 7, ">u8", buf, 0, (1,)).astype("<u8")
         n = len(text)
-        at = np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER))
+        at = np.flatnonzero(np.resize(np.isin(np.arange(PERIOD), COVER), n)) if n else np.zeros(0, np.int64)
         ranks = np.zeros(n + match + 2 * PERIOD, np.int64)
         first, second = self.word[at], self.word[at + 8]
         order = np.lexsort((second, first))
@@ -139,8 +139,9 @@ def _grams(text: bytes, gram: int) -> np.ndarray:
     buf = np.frombuffer(text, np.uint8)
     word = np.ndarray(len(buf) - 7, "<u8", buf, 0, (1,))
     n = len(buf) - gram + 1
-    out = packed.mix64(word[:n] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-    return packed.mix64(out ^ word[gram - 8 : gram - 8 + n])
+    out = word[:n] * np.uint64(0x9E3779B97F4A7C15)
+    out += word[gram - 8 : gram - 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F)
+    return packed.mix64(out)
 
 
 def _scan(flat: list[bytes], docs: list[int], bases: list[int], packer: packed.Packer, match: int, gram: int) -> None:
@@ -156,9 +157,9 @@ def _scan(flat: list[bytes], docs: list[int], bases: list[int], packer: packed.P
         packer.add(value, [text[i:j] for i, j in zip(begin.tolist(), ends)], np.array(docs)[piece], np.array(bases)[piece] + begin - first[piece])
 
 
-def _pack(buckets: int, match: int, gram: int):
+def _pack(buckets: int, match: int, gram: int, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = packed.Packer(buckets)
+        packer = packed.Packer(buckets, hot)
         held: tuple[list, list, list] = ([], [], [])
         size = 0
         for batch in batches:
@@ -220,12 +221,13 @@ def _repeats(match: int, gram: int):
         start = np.cumsum(size) - size
         grams = _grams(text, gram)
         owner_of_gram = np.repeat(np.arange(len(strings)), size)[: len(grams)]
-        inside = np.arange(len(grams)) <= (start + size - gram)[owner_of_gram]
-        grams = np.where(inside, grams, np.uint64(2**64 - 1))
+        # The last pieces of a string run into the next one.
+        across = (np.cumsum(size)[:, None] - np.arange(1, gram)).ravel()
+        grams[across[across < len(grams)]] = np.uint64(2**64 - 1)
         least = np.minimum.reduceat(grams, start)
         # Only strings whose minimiser occurs twice can hold a window that another place has too.
         _, inverse, times = np.unique(least, return_inverse=True, return_counts=True)
-        own = np.add.reduceat((inside & (grams == least[owner_of_gram])).astype(np.int64), start)
+        own = np.add.reduceat(grams == least[owner_of_gram], start, dtype=np.int64)
         todo = np.flatnonzero((times[inverse] > 1) | (own > 1))
         for chosen in _blocks(todo, inverse, windows):
             some = [strings[s] for s in chosen.tolist()]
@@ -253,8 +255,8 @@ def _repeats(match: int, gram: int):
             flagged[rows] |= weight[classes]
         return flagged
 
-    def work(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        strings, ids, docs, places = packed.gather(blobs)
+    def work(blobs: list[bytes]) -> Iterator[dict]:
+        strings, ids, docs, places, hot = packed.gather(blobs)
         count = np.bincount(ids, minlength=len(strings))
         windows = np.fromiter(map(len, strings), np.int64, len(strings)) - match + 1
         offset = np.cumsum(windows) - windows
@@ -273,10 +275,15 @@ def _repeats(match: int, gram: int):
         per_place = runs_of[ids]
         place = np.repeat(np.arange(len(ids)), per_place)
         run = first_run[ids[place]] + np.arange(len(place)) - (np.cumsum(per_place) - per_place)[place]
-        if len(run):
-            yield docs[place], places[place] + on[run] - offset[ids[place]], off[run] - on[run] + match
+        yield {"range_doc": docs[place], "start": places[place] + on[run] - offset[ids[place]], "length": off[run] - on[run] + match}
 
-    return packed.by_bucket(work)
+        def runs_of_string(s: int) -> Iterator[tuple[int, int, int]]:
+            for k in range(first_run[s], first_run[s] + runs_of[s]):
+                yield int(on[k] - offset[s]), int(off[k] - on[k] + match), packed.ANY
+
+        yield packed.verdicts(strings, hot, runs_of_string)
+
+    return work
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,23 +306,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH_BYTES, gram: int = GRAM_BYTES) -> DataFrame:
+def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH_BYTES, gram: int = GRAM_BYTES, hot: int = packed.HOT_PLACES) -> DataFrame:
     """(range_doc, start, length): byte ranges to cut, which may overlap."""
     if match < gram + PERIOD or gram < 8 or match < 3 * PERIOD:
         raise ValueError("match must be at least 48 bytes and longer than the minimiser by 16")
     spark = docs.sparkSession
     ship(spark)
-    parts = parallelism(spark)
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return (
-        source.mapInArrow(lean(_pack(parts * packed.BUCKETS_PER_PARTITION, match, gram)), packed.PACKED_SCHEMA)
-        .repartition(parts, "bucket")
-        .sortWithinPartitions("bucket")
-        .mapInArrow(lean(_repeats(match, gram)), packed.RANGES_SCHEMA)
-    )
+    buckets = parallelism(spark) * packed.BUCKETS_PER_PARTITION
+    rows = source.mapInArrow(lean(_pack(buckets, match, gram, hot)), packed.PACKED_SCHEMA)
+    return packed.ranges(rows, buckets, _repeats(match, gram), "bytes")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH_BYTES, hot: int = packed.HOT_PLACES) -> DataFrame:
     """Cut each byte that a string of ``match`` bytes which also starts elsewhere covers.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining
@@ -329,7 +332,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     minimiser at one distance form the suffix buckets, sorted a block at a time, and
     ranks of a difference cover, computed before, settle long ties.
     """
-    ranges = repeated_ranges(docs, id_col, text_col, match)
+    ranges = repeated_ranges(docs, id_col, text_col, match, hot=hot)
     return with_ranges(docs, ranges, id_col, text_col).mapInArrow(
         lean(_cut), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     )
