@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.compile import compile, qualified
 from ..model import LEGACY_ID, DeclarationError, Entity, Field
 from ..plans.lens import key_of, lenses
+from ..sources.staging import pinned
 from ..sources.tables import Load
 from .view import attribute_column, joined_source
 
@@ -141,8 +142,13 @@ class Diff:
     mismatched: DataFrame
 
 
-def diff(pair: Pair, size: int = RANGE_SIZE) -> Diff:
-    """Counts and checksums together; only two counts and two sums of ranges reach the driver."""
+def diff(pair: Pair, size: int = RANGE_SIZE, pin: bool = False) -> Diff:
+    """Counts and checksums together; only two counts and two sums of ranges reach the driver.
+
+    ``pin`` computes both sides once first, for sources that may change between two reads.
+    """
+    if pin:
+        pair = Pair(pinned(pair.legacy), pinned(pair.modern), pair.columns)
     counts = count_drift(pair).first()
     sums = checksums(pair, size)
     seen = sums.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("agrees")).alias("bad")).first()
