@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +66,3 @@ def reread(entity: Entity, load: Load, events: DataFrame, action: str | None = N
     shown = joined.filter((F.col("op") == "delete") | F.col(LEGACY_ID).isNotNull())
     attributes = [c for c in view.columns if c != LEGACY_ID]
     return shown.select(F.lit(action or ACTION).alias("action"), "op", F.col("event_id").alias(LEGACY_ID), *attributes)
-
-
-Handler = Callable[[DataFrame, int], None]
