@@ -19,13 +19,22 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-#: Runs that may be random: as long as a key, and of the letters that keys are written in.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Known digests and identifiers: hexadecimal digests, UUIDs, plain numbers, dates and paths of words.
+#: Runs that may be random: of the letters that keys are written in. Plain words come as long as the shorter
+#: ones, so under PLAIN_LENGTH a run must have a digit or a capital within a word.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PLAIN_LENGTH = 20
+MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
+#: Known digests and identifiers: hexadecimal digests, UUIDs, plain numbers, times.
 KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
-    r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9_+/=-]+|(?:[/_=+-]*[A-Za-z]+[/_=+-]*)+|(?:sha|md)[0-9]+-[A-Za-z0-9+/=]+)"
+    r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9_+/=-]+|(?:sha|md)[0-9]+-[A-Za-z0-9+/=]+"
+    r"|[0-9]{4}-?[0-9]{2}-?[0-9]{2}T[0-9]{2,6}Z?)"
 )
+#: Runs of letters and separators: paths and identifiers, if their parts read as words.
+LETTERS = re.compile(r"[A-Za-z/_=+-]+")
+SEPARATORS = re.compile(r"[/_=+-]+")
+#: Parts of fewer letters on average are a list of letters, not a key.
+PART_LETTERS = 3
 #: Characters per token below which a run counts as random.
 MAX_CHARS_PER_TOKEN = 2.2
 
@@ -50,14 +59,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def is_random(run: str, encoding, most: float = MAX_CHARS_PER_TOKEN) -> bool:
+    """Whether a run has few characters per token and is no known digest or identifier; one of letters only is judged by its parts too."""
+    if KNOWN.fullmatch(run) or len(run) < PLAIN_LENGTH and not MIXED.search(run):
+        return False
+    if len(run) / len(encoding.encode_ordinary(run)) >= most:
+        return False
+    if not LETTERS.fullmatch(run):
+        return True
+    parts = [x for x in SEPARATORS.split(run) if x]
+    letters = sum(map(len, parts))
+    return letters >= PART_LETTERS * len(parts) and letters / sum(len(encoding.encode_ordinary(x)) for x in parts) < most
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], encoding, most: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
     """Runs outside ``base`` with few characters per token, known digests and identifiers left out."""
     out = []
     for m in CANDIDATE.finditer(text):
-        run = m.group()
-        if KNOWN.fullmatch(run) or any(a < m.end() and m.start() < b for a, _, b in base):
-            continue
-        if len(run) / len(encoding.encode_ordinary(run)) < most:
+        if not any(a < m.end() and m.start() < b for a, _, b in base) and is_random(m.group(), encoding, most):
             out.append((m.start(), 3, m.end()))
     return out
 

@@ -448,6 +448,20 @@ def test_secrets(spark, rows, none):
     assert secret_scan.scan(none).count() == 0
 
 
+def test_random_runs_of_letters_and_short_ones():
+    encoding = secret_scan._encoding(*secret_scan.vocabulary())
+    found = lambda text: secret_scan.random_spans(text, [], encoding)
+    rng = random.Random(4)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    runs = [draw(lower + lower.upper(), n) for n in (20, 30, 40) for _ in range(50)] + [draw(lower + lower.upper() + "0123456789", n) for n in (16, 20) for _ in range(50)]
+    assert sum(found(f"see {x} there") == [(4, 3, 4 + len(x))] for x in runs) >= 0.98 * len(runs)
+    for plain in ("some_long_identifier_of_words", "usr/share/doc/readme/and/more", "a-b-c-d-e-f-g-h-i-j-k-l", "getElementsByTagName", "dasschzukeitkeit", "20240115T103000Z", "=" * 40, "-" * 16, "x/" * 30):
+        assert found(f"see {plain} there") == [], plain
+    # A nested repeat would take exponential time here; the run may be random or not.
+    assert len(found("ab" * 5000 + "1")) <= 1
+
+
 # --- URLs
 
 
