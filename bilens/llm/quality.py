@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import cut, lean, ship, stored
@@ -140,16 +140,22 @@ def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
 
 MEASURES = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
-    "band_group string, n_tokens bigint, chars_per_token double, byte_share double, token_entropy double"
+    "band_group string, n_tokens bigint, chars_per_token double, byte_share double, token_entropy double, text_hash1 bigint, text_hash2 bigint"
 )
 
 
+def text_hashes(text: str, lang: str) -> list[Column]:
+    """128 bits of a text and its language as two bigints, text_hash1 and text_hash2."""
+    return [F.xxhash64(F.lit(k), F.coalesce(F.col(lang), F.lit("\0")), F.col(text)).alias(f"text_hash{k}") for k in (1, 2)]
+
+
 def measures(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row of counts and fertility measures for each row of ``docs``, and a row number-free copy of its id."""
     ship(docs.sparkSession)
     path = path or vocabulary_path()
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang"))
+    source = source.select("*", *text_hashes("text", "lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _fertility(path)
@@ -163,7 +169,7 @@ def measures(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", t
             kinds = [pa.int64()] * 5 + [pa.string(), pa.int64()] + [pa.float64()] * 3
             columns = zip(*made) if made else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, k) for x, k in zip(columns, kinds))], names=[x.split()[0] for x in MEASURES.split(", ")]
+                [batch.column(0), *(pa.array(x, k) for x, k in zip(columns, kinds)), batch.column(3), batch.column(4)], names=[x.split()[0] for x in MEASURES.split(", ")]
             )
 
     return source.mapInArrow(lean(run), MEASURES)
@@ -172,33 +178,24 @@ def measures(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", t
 def bands(measured: DataFrame, group: str = "band_group") -> DataFrame:
     """(band_group, <measure>_low, <measure>_high): one row per group, and one of all texts under null.
 
-    From all texts that pass the base rules. Measures are counted in steps, so that a
-    group needs no more room than it has steps, however many texts it holds.
+    From the distinct texts that pass the base rules: copies of one text count once, or
+    many of them would draw the quartiles together. Measures are counted in steps, so that
+    a group needs no more room than it has steps, however many texts it holds.
     """
-    out = None
+    distinct = measured.filter(~F.col("base_failed")).groupBy(group, "text_hash1", "text_hash2").agg(*[F.min(c).alias(c) for c in STEP])
+    bins = [F.struct(F.lit(name).alias("measure"), F.round(F.col(name) / step).cast("bigint").alias("bin")) for name, step in STEP.items()]
+    counted = cut(distinct.select(group, F.inline(F.array(*bins))).groupBy(group, "measure", "bin").agg(F.count(F.lit(1)).alias("n")))
+    every = counted.groupBy("measure", "bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias(group), "measure", "bin", "n")
+    w = Window.partitionBy(group, "measure")
+    running = counted.unionByName(every).select(group, "measure", "bin", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("total"))
+    low = F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bin")))
+    high = F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bin")))
+    quartiles = running.groupBy(group, "measure").agg(low.alias("q1"), high.alias("q3"), F.max("total").alias("total"))
+    limits = [F.max("total").alias("total")]
     for name, step in STEP.items():
-        counted = (
-            measured.filter(~F.col("base_failed"))
-            .select(group, F.round(F.col(name) / step).cast("bigint").alias("bin"))
-            .groupBy(group, "bin")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        every = counted.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias(group), "bin", "n")
-        w = Window.partitionBy(group)
-        running = counted.unionByName(every).select(
-            group, "bin", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("total")
-        )
-        low = F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bin"))) * F.lit(step)
-        high = F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bin"))) * F.lit(step)
-        quartiles = running.groupBy(group).agg(low.alias("q1"), high.alias("q3"), F.max("total").alias("total"))
-        reach = F.lit(WHISKER) * (F.col("q3") - F.col("q1"))
-        made = quartiles.select(group, (F.col("q1") - reach).alias(f"{name}_low"), (F.col("q3") + reach).alias(f"{name}_high"), *(["total"] if out is None else []))
-        if out is None:
-            out = made
-        else:
-            made = made.withColumnRenamed(group, "other")
-            out = out.join(made, out[group].eqNullSafe(made["other"])).drop("other")
-    return out
+        q1, q3 = (F.max(F.when(F.col("measure") == name, F.col(c))) * F.lit(step) for c in ("q1", "q3"))
+        limits += [(q1 - F.lit(WHISKER) * (q3 - q1)).alias(f"{name}_low"), (q3 + F.lit(WHISKER) * (q3 - q1)).alias(f"{name}_high")]
+    return quartiles.groupBy(group).agg(*limits)
 
 
 def settled(limits: DataFrame) -> DataFrame:
@@ -217,8 +214,8 @@ def rules(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     windows. Of the others, a text is kept if it lies within the bands of its language
     (its main script, where ``lang`` is null or missing): characters per token on both
     sides, the share of byte-fallback tokens above, token entropy below. Bands are
-    widened for short texts, whose measures stray, and computed over all texts given that pass the base rules; groups of fewer than
-    LEAST_GROUP such texts take the bands of all. Null texts have no words and fail.
+    widened for short texts, whose measures stray, and computed over all distinct texts given that pass the base rules; groups of
+    fewer than LEAST_GROUP such texts take the bands of all. Null texts have no words and fail.
     Repeated rows and null ids come out as they went in. No rows: no rows.
     """
     measured = measures(docs, path, id_col, text_col, lang_col).withColumn(

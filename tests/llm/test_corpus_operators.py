@@ -412,6 +412,23 @@ def test_bands_reject_what_a_vocabulary_cannot_read(spark):
     assert got[2000]["band_group"] == "script:cjk"
 
 
+def test_copies_of_a_text_do_not_narrow_the_bands(spark):
+    rng = random.Random(21)
+    plain = ["the", "people", "water", "house", "under", "walking", "great", "number", "garden", "morning", "quickly", "letter", "brought", "seven", "winter", "answer", "river", "stone", "music", "of"]
+    made = ["".join(rng.choice("abdeghiklmnorstu") for _ in range(rng.randint(3, 9))) for _ in range(400)]
+    rows = []
+    for i in range(120):
+        share = rng.uniform(0.3, 0.7)
+        text = " ".join(rng.choice(plain) if rng.random() < share else rng.choice(made) for _ in range(600))
+        rows.append((i, text, "en", "s", 1))
+    kept = lambda some: {r["doc_id"] for r in quality.rules(spark.createDataFrame(some, DOCS)).filter("kept").collect()}
+    alone = kept(rows)
+    assert len(alone) > 100
+    copied = next(r for r in rows if r[0] in alone)
+    # In four fifths of the language's rows: counted by rows, both quartiles are this text's.
+    assert kept([*rows, *[(1000 + k, *copied[1:]) for k in range(480)]]) == alone | {1000 + k for k in range(480)}
+
+
 # --- Secrets
 
 
