@@ -30,7 +30,7 @@ STRAY = {"chars_per_token": 6.0, "byte_share": 0.5, "token_entropy": 0.55}
 LEAST_BYTES = 0.02
 #: Histogram steps of the measures; quartiles are exact to a step.
 STEP = {"chars_per_token": 0.01, "byte_share": 0.001, "token_entropy": 0.002}
-#: Groups with fewer measured texts take the bands of all texts.
+#: Groups with fewer distinct measured texts have no bands.
 LEAST_GROUP = 30
 #: Groups whose bands are broadcast at most; beyond it they are joined by a shuffle.
 BROADCAST_GROUPS = 10_000
@@ -176,7 +176,7 @@ def measures(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", t
 
 
 def bands(measured: DataFrame, group: str = "band_group") -> DataFrame:
-    """(band_group, <measure>_low, <measure>_high): one row per group, and one of all texts under null.
+    """(band_group, total, <measure>_low, <measure>_high): one row per group.
 
     From the distinct texts that pass the base rules: copies of one text count once, or
     many of them would draw the quartiles together. Measures are counted in steps, so that
@@ -185,9 +185,8 @@ def bands(measured: DataFrame, group: str = "band_group") -> DataFrame:
     distinct = measured.filter(~F.col("base_failed")).groupBy(group, "text_hash1", "text_hash2").agg(*[F.min(c).alias(c) for c in STEP])
     bins = [F.struct(F.lit(name).alias("measure"), F.round(F.col(name) / step).cast("bigint").alias("bin")) for name, step in STEP.items()]
     counted = cut(distinct.select(group, F.inline(F.array(*bins))).groupBy(group, "measure", "bin").agg(F.count(F.lit(1)).alias("n")))
-    every = counted.groupBy("measure", "bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias(group), "measure", "bin", "n")
     w = Window.partitionBy(group, "measure")
-    running = counted.unionByName(every).select(group, "measure", "bin", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("total"))
+    running = counted.select(group, "measure", "bin", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("total"))
     low = F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bin")))
     high = F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bin")))
     quartiles = running.groupBy(group, "measure").agg(low.alias("q1"), high.alias("q3"), F.max("total").alias("total"))
@@ -199,12 +198,8 @@ def bands(measured: DataFrame, group: str = "band_group") -> DataFrame:
 
 
 def settled(limits: DataFrame) -> DataFrame:
-    """The bands of each group, those of all texts where a group is small: a row per group with texts that pass."""
-    whole = Window.partitionBy()
-    names = [c for c in limits.columns if c not in ("band_group", "total")]
-    every = lambda c: F.max(F.when(F.col("band_group").isNull(), F.col(c))).over(whole)
-    chosen = [F.when(F.col("total") >= LEAST_GROUP, F.col(c)).otherwise(every(c)).alias(c) for c in names]
-    return limits.select("band_group", *chosen).filter("band_group IS NOT NULL")
+    """The bands of the groups large enough to have some."""
+    return limits.filter(F.col("total") >= LEAST_GROUP).drop("total")
 
 
 def rules(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -214,8 +209,8 @@ def rules(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     windows. Of the others, a text is kept if it lies within the bands of its language
     (its main script, where ``lang`` is null or missing): characters per token on both
     sides, the share of byte-fallback tokens above, token entropy below. Bands are
-    widened for short texts, whose measures stray, and computed over all distinct texts given that pass the base rules; groups of
-    fewer than LEAST_GROUP such texts take the bands of all. Null texts have no words and fail.
+    widened for short texts, whose measures stray, and computed over all distinct texts given that pass the base rules. In groups
+    of fewer than LEAST_GROUP such texts, which the measures of other languages say nothing about, all of them are kept. Null texts have no words and fail.
     Repeated rows and null ids come out as they went in. No rows: no rows.
     """
     measured = measures(docs, path, id_col, text_col, lang_col).withColumn(

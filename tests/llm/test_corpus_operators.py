@@ -429,6 +429,16 @@ def test_copies_of_a_text_do_not_narrow_the_bands(spark):
     assert kept([*rows, *[(1000 + k, *copied[1:]) for k in range(480)]]) == alone | {1000 + k for k in range(480)}
 
 
+def test_texts_of_a_rare_language_are_not_judged_by_others(spark):
+    rng = random.Random(6)
+    words = ["the", "people", "water", "house", "under", "walking", "great", "number", "garden", "morning", "quickly", "letter", "brought", "seven", "winter", "answer"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(300)), "en", "s", 1) for i in range(60)]
+    rows += [(100 + i, " ".join("".join(rng.choice("汉字语言文本数据清洁人口河流早晨花园") for _ in range(4)) for _ in range(80)), "zh", "s", 1) for i in range(5)]
+    rows += [(200, "short", "zh", "s", 1)]
+    kept = {r["doc_id"]: r["kept"] for r in quality.rules(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(kept[100 + i] for i in range(5)) and not kept[200]
+
+
 # --- Secrets
 
 
