@@ -294,6 +294,33 @@ def test_lines_of_the_sample_and_of_nothing(docs, rows, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_short_lines_meet_all_similar_ones(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abdeghikln") for _ in range(rng.randint(1, 8))) for _ in range(12)]
+    base = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 4))) for _ in range(12)] + ["".join(rng.choice("abcd") for _ in range(n)) for n in (60, 64, 70, 150)]
+
+    def varied(line):
+        for _ in range(rng.randint(0, 1 + len(line) // 6)):
+            at = rng.randrange(len(line) + 1)
+            line = line[:at] + rng.choice(["", "a", "e", "k"]) + line[at + rng.randint(0, 1) :]
+        return line
+
+    rows = [(i, varied(base[i % len(base)]), "en", "s", 1) for i in range(160)] + [(500, "with to to\nthth to to", "en", "s", 1)]
+    first = {}
+    for i, t, *_ in rows:
+        for n, plain in enumerate(lines.normalised_lines(t)):
+            if 0 < len(plain.split()) < lines.FUZZY_WORDS:
+                first.setdefault(plain.decode(), (i, n))
+    label = brute_components(set(first), lambda a, b: lines.similarity(a, b) >= lines.MIN_SIMILARITY)
+    keeper = {}
+    for form, at in first.items():
+        keeper[label[form]] = min(keeper.get(label[form], at), at)
+    assert len(keeper) < len(first)
+    gone = [(i, sum(keeper[label[p.decode()]] != (i, n) for n, p in enumerate(lines.normalised_lines(t)) if p.decode() in first)) for i, t, *_ in rows]
+    got = lines.dedup_lines(spark.createDataFrame(rows, DOCS))
+    assert sorted((r["doc_id"], r["n_dropped"]) for r in got.collect()) == sorted(gone)
+
+
 def test_edit_distance_and_its_bounds():
     rng = random.Random(3)
 
