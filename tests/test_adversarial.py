@@ -2,8 +2,10 @@
 
 import itertools
 import random
+import unicodedata
 import uuid
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import functions as F
 
@@ -19,16 +21,48 @@ from bilens.operators.view import modern_view
 from bilens.plans import mappings as M
 from bilens.sources.tables import frames
 
-VALUES = [
-    "a", "A", " a", "a ", "\ta", "a\n", "", None, "İstanbul", "i̇", "ß", "SS", "ς", "σ", "é", "é", "ạ́̈", "🙂", "👩‍👩‍👧‍👦", "🇩🇪", "مرحبا", "‮abc",
-    "'", "''", "\\", "\\'", "NULL", "'NULL'", "|", "a|b", "'|'", "%", "_", "`", "?", "--", "a\\nb", "\u0085", " ",
-]
+#: General categories of characters that a text column can hold; surrogates are no text, and NUL is refused by servers.
+CATEGORIES = ("Lu", "Ll", "Lt", "Lm", "Lo", "Mn", "Mc", "Nd", "No", "Pc", "Pd", "Ps", "Po", "Sm", "Sc", "Sk", "So", "Zs", "Zl", "Cc", "Cf", "Co")
+
+
+def drawn_values(seed=17, each=1):
+    """Short texts of each category, alone and inside a word, what case and normal forms make of them, and signs that SQL reads."""
+    by_kind = {k: [] for k in CATEGORIES}
+    for code in range(1, 0x110000):
+        kind = unicodedata.category(chr(code))
+        if kind in by_kind:
+            by_kind[kind].append(chr(code))
+    rng, out = random.Random(seed), ["", None]
+    for kind in CATEGORIES:
+        for c in rng.sample(by_kind[kind], min(each, len(by_kind[kind]))):
+            out += [c, f"k{c}v"]
+    # Letters that change length, or that two spellings share, when their case or normal form changes.
+    moving = [c for c in by_kind["Lu"] + by_kind["Ll"] if len(c.upper()) != len(c.lower()) or len(unicodedata.normalize("NFD", c)) > 2]
+    for c in rng.sample(moving, 5):
+        out += [c, c.lower(), c.upper(), unicodedata.normalize("NFD", c)]
+    signs = "\\'\"|%_`?-;#$"
+    out += [*signs, *["".join(rng.choice(signs) for _ in range(rng.randint(2, 5))) for _ in range(8)]]
+    return list(dict.fromkeys(out))
+
+
+def clock_changes(zone, year):
+    """A wall-clock time in each jump of a zone in a year: half an hour after the clock's reading when it moved."""
+    tz, at, out = ZoneInfo(zone), datetime(year, 1, 1, tzinfo=timezone.utc), []
+    while at.year == year:
+        after = at + timedelta(hours=1)
+        if at.astimezone(tz).utcoffset() != after.astimezone(tz).utcoffset():
+            out.append(at.astimezone(tz).replace(tzinfo=None) + timedelta(minutes=90))
+        at = after
+    return out
+
+
+VALUES = drawn_values()
 TABLE = LegacyTable("t", (Field("id", "bigint", False), Field("a", "string"), Field("b", "string"), Field("at", "timestamp_ntz")), ("id",))
 PLAIN = Entity(
     "plain", (Field("id", "bigint", False), Field("x", "string", trim=False), Field("y", "string", trim=False), Field("at", "timestamp")),
     Source(TABLE, (M.Key("id", "id"), M.Map("x", source="a"), M.Map("y", source="b"), M.Map("at", source="at", zone="UTC"))), Phase.DUAL_WRITE,
 )
-TIMES = [None, datetime(2024, 3, 10, 2, 30), datetime(2024, 11, 3, 1, 30), datetime(1969, 12, 31, 23, 59, 59, 999999)]
+TIMES = [None, datetime(1900, 1, 1), datetime.max.replace(microsecond=1), *clock_changes("Europe/Lisbon", 2019), *clock_changes("Pacific/Chatham", 2021), *clock_changes("America/Sao_Paulo", 2018)]
 
 
 def rows(n=300, seed=1):
