@@ -19,13 +19,16 @@ _shipped: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can read, as ``spark.checkpoint.dir`` names it.
 
-    A folder is made only where the session names none, as in local tests.
+    Where the session names none, as in local tests, a local folder is made; on a
+    cluster that is refused, for executors could not read it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if named and not current:
         spark.sparkContext.setCheckpointDir(named)
     elif not named and not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="bilens-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named or current
@@ -59,8 +62,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows that a Python worker gets at once: texts are long, and a worker holds a batch several times over.
+#: Rows, and bytes, that a Python worker gets at once: texts are long, and a worker holds a batch several times over.
 ARROW_ROWS = 512
+ARROW_BYTES = 8 << 20
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -80,9 +84,10 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application, and bound their batches."""
+    """Send this package to the Python workers, once per application, and bound the session's Arrow batches."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

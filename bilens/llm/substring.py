@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .storage import lean, parallelism, ship
+from .storage import lean, ship
 
 WINDOW_WORDS = 13
 #: Words of a minimiser; single words and pairs can be too common to spread windows.
@@ -33,40 +33,40 @@ def _pieces(words: list[bytes], span: int, most: int) -> Iterator[tuple[int, lis
         yield at, words[at : at + most + span - 1]
 
 
-def _scan(flat: list[bytes], counts: list[int], docs: list[int], bases: list[int], packer: packed.Packer, span: int, gram: int) -> None:
-    """Pack the windows of some pieces: texts with single spaces, word counts, documents, first words."""
+def _scan(flat: list[bytes], counts: list[int], docs: list[int], marks: list[int], bases: list[int], packer: packed.Packer, span: int, gram: int) -> None:
+    """Pack the windows of some pieces: texts with single spaces, word counts, documents (two numbers), first words."""
     text = b"\n".join(flat)
     starts, ends, hashes = _word_hashes(text)
     n = np.array(counts)
     first = np.cumsum(n) - n
     grams = packed.piece_hashes(hashes, np.arange(len(hashes) - gram + 1), np.arange(gram, len(hashes) + 1))
-    least = packed.sliding_min(grams, span - gram + 1)
+    least = packer.layout.values(grams, span - gram + 1)
     last = np.repeat(first + n - span, n)[: len(least)]
     begin, length, value = packed.runs(least, np.arange(len(least)) <= last)
     if len(begin):
         piece = np.searchsorted(first, begin, side="right") - 1
         a, b = starts[begin].tolist(), ends[begin + length + span - 2].tolist()
-        packer.add(value, [text[i:j] for i, j in zip(a, b)], np.array(docs)[piece], np.array(bases)[piece] + begin - first[piece])
+        packer.add(value, [text[i:j] for i, j in zip(a, b)], np.array(docs)[piece], np.array(marks)[piece], np.array(bases)[piece] + begin - first[piece])
 
 
-def _pack(buckets: int, span: int, gram: int, hot: int):
+def _pack(layout: packed.Layout, span: int, gram: int, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = packed.Packer(buckets, hot)
-        held: tuple[list, list, list, list] = ([], [], [], [])
+        packer = packed.Packer(layout, hot)
+        held: tuple[list, ...] = ([], [], [], [], [])
         size = 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, text, mark in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("k2").to_pylist()):
                 words = (text.as_py() or "").encode().split()
                 if doc is None or len(words) < span:
                     continue
                 for base, some in _pieces(words, span, packed.SCAN_BYTES // 16):
                     joined = b" ".join(some)
-                    for kept, item in zip(held, (joined, len(some), doc, base)):
+                    for kept, item in zip(held, (joined, len(some), doc, mark, base)):
                         kept.append(item)
                     size += len(joined)
                     if size >= packed.SCAN_BYTES:
                         _scan(*held, packer, span, gram)
-                        held, size = ([], [], [], []), 0
+                        held, size = ([], [], [], [], []), 0
                     if packer.full():
                         yield from packer.flush()
         if size:
@@ -80,7 +80,7 @@ def _later_copies(span: int):
     """For a bucket: the runs of words whose windows also start in a smaller document."""
 
     def work(blobs: list[bytes]) -> Iterator[dict]:
-        strings, ids, docs, places, hot = packed.gather(blobs)
+        strings, ids, docs, marks, places, hot = packed.gather(blobs)
         text = b"\n".join(strings)
         starts, ends, hashes = _word_hashes(text)
         words = np.fromiter((s.count(b" ") + 1 for s in strings), np.int64, len(strings))
@@ -108,17 +108,18 @@ def _later_copies(span: int):
             of_window[repeats] = smallest[name]
         low, high = np.minimum.reduceat(of_window, offset), np.maximum.reduceat(of_window, offset)
         whole = docs > high[ids]
-        yield {"range_doc": docs[whole], "start": places[whole], "length": windows[ids[whole]] + span - 1}
+        yield {"k1": docs[whole], "k2": marks[whole], "start": places[whole], "length": windows[ids[whole]] + span - 1}
         some = np.flatnonzero(~whole & (docs > low[ids]))
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, ...] = ([], [], [], [])
         for k in some.tolist():
             s, d = ids[k], docs[k]
             cut = np.diff((of_window[offset[s] : offset[s] + windows[s]] < d).astype(np.int8), prepend=0, append=0)
             on, off = np.flatnonzero(cut == 1), np.flatnonzero(cut == -1)
             out[0].extend([d] * len(on))
-            out[1].extend((places[k] + on).tolist())
-            out[2].extend((off - on + span - 1).tolist())
-        yield dict(zip(("range_doc", "start", "length"), out))
+            out[1].extend([marks[k]] * len(on))
+            out[2].extend((places[k] + on).tolist())
+            out[3].extend((off - on + span - 1).tolist())
+        yield dict(zip(("k1", "k2", "start", "length"), out))
 
         def runs_of(s: int) -> Iterator[tuple[int, int, int]]:
             """Runs of windows whose least document is one; it is a repeat in all greater ones."""
@@ -153,35 +154,51 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = WINDOW_WORDS, gram: int = GRAM_WORDS, hot: int = packed.HOT_PLACES) -> DataFrame:
-    """(range_doc, start, length): runs of words to cut, which may overlap."""
-    spark = docs.sparkSession
-    ship(spark)
-    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    buckets = parallelism(spark) * packed.BUCKETS_PER_PARTITION
-    rows = source.mapInArrow(lean(_pack(buckets, span, min(gram, span), hot)), packed.PACKED_SCHEMA)
-    return packed.ranges(rows, buckets, _later_copies(span), "words")
+def _weigh(span: int, gram: int):
+    """Bytes that some texts bring to each bucket."""
+
+    def run(texts: list[bytes], layout: packed.Layout) -> np.ndarray:
+        out = np.zeros(layout.buckets, np.int64)
+        for text in texts:
+            words = text.split()
+            for _, some in _pieces(words, span, packed.SCAN_BYTES // 16) if len(words) >= span else ():
+                _, _, hashes = _word_hashes(b" ".join(some))
+                grams = packed.piece_hashes(hashes, np.arange(len(hashes) - gram + 1), np.arange(gram, len(hashes) + 1))
+                size = sum(map(len, some)) // max(1, len(some)) + 1
+                out += size * np.bincount(layout.bucket(packed.sliding_min(grams, span - gram + 1)), minlength=layout.buckets)
+        return out
+
+    return run
+
+
+def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = WINDOW_WORDS, gram: int = GRAM_WORDS, hot: int = packed.HOT_PLACES, crowded: int = packed.CROWDED_BYTES) -> DataFrame:
+    """(k1, k2, start, length): runs of words to cut, which may overlap, of documents as ``packed.keyed`` names them."""
+    ship(docs.sparkSession)
+    source = packed.keyed(docs, id_col, text_col)
+    gram = min(gram, span)
+    layout = packed.plan_layout(source, _weigh(span, gram), crowded)
+    rows = source.mapInArrow(lean(_pack(layout, span, gram, hot)), packed.PACKED_SCHEMA)
+    return packed.ranges(rows, layout.buckets, _later_copies(span), "words")
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, ranges) for each row of ``docs``; the ranges are the side that is held."""
-    grouped = ranges.groupBy("range_doc").agg(F.collect_list(F.struct("start", "length")).alias("ranges"))
-    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.join(grouped.hint("shuffle_hash"), source["id"] == grouped["range_doc"], "left").select("id", "text", "ranges")
+    grouped = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "length")).alias("ranges"))
+    return packed.keyed(docs, id_col, text_col).join(grouped.hint("shuffle_hash"), ["k1", "k2"], "left").select("id", "text", "ranges")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = WINDOW_WORDS, hot: int = packed.HOT_PLACES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = WINDOW_WORDS, hot: int = packed.HOT_PLACES, crowded: int = packed.CROWDED_BYTES) -> DataFrame:
     """Cut each word that a window which also starts in a document of smaller id covers.
 
     Returns doc_id, n_words, n_removed, kept_sha256 and kept (the kept words joined by
     one space). Words are runs of bytes other than ASCII white space, taken unchanged
     from the whole text; a null or empty text has none. Windows never cross documents
     and are judged on the input. Texts shorter than a window lose nothing. A row with a
-    null id is neither searched nor cut. Rows that repeat an id are one document for
-    the search: they do not cut each other, and each loses the ranges found under the
-    id. Further columns are ignored; no rows give no rows.
+    null id has no smaller and no greater id: it is neither searched nor cut. Rows that
+    repeat an id do not cut each other, and each loses what its own text repeats.
+    Further columns are ignored; no rows give no rows.
     """
-    ranges = repeated_ranges(docs, id_col, text_col, span, hot=hot)
+    ranges = repeated_ranges(docs, id_col, text_col, span, hot=hot, crowded=crowded)
     return with_ranges(docs, ranges, id_col, text_col).mapInArrow(lean(_cut), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
 
 

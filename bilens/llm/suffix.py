@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .storage import lean, parallelism, ship
+from .storage import lean, ship
 from .substring import with_ranges
 
 MATCH_BYTES = 400
@@ -21,8 +21,6 @@ GRAM_BYTES = 16
 PERIOD = 16
 #: Suffixes sorted together at most, unless one bucket alone has more.
 BLOCK_SUFFIXES = 1 << 19
-#: Stands for a null id in packed places.
-NO_ID = -(1 << 63) + 1
 
 
 def difference_cover(period: int) -> list[int]:
@@ -144,38 +142,37 @@ def _grams(text: bytes, gram: int) -> np.ndarray:
     return packed.mix64(out)
 
 
-def _scan(flat: list[bytes], docs: list[int], bases: list[int], packer: packed.Packer, match: int, gram: int) -> None:
+def _scan(flat: list[bytes], docs: list[int], marks: list[int], bases: list[int], packer: packed.Packer, match: int, gram: int) -> None:
     text = b"".join(flat)
     n = np.fromiter(map(len, flat), np.int64, len(flat))
     first = np.cumsum(n) - n
-    least = packed.sliding_min(_grams(text, gram), match - gram + 1)
+    least = packer.layout.values(_grams(text, gram), match - gram + 1)
     last = np.repeat(first + n - match, n)[: len(least)]
     begin, length, value = packed.runs(least, np.arange(len(least)) <= last)
     if len(begin):
         piece = np.searchsorted(first, begin, side="right") - 1
         ends = (begin + length + match - 1).tolist()
-        packer.add(value, [text[i:j] for i, j in zip(begin.tolist(), ends)], np.array(docs)[piece], np.array(bases)[piece] + begin - first[piece])
+        packer.add(value, [text[i:j] for i, j in zip(begin.tolist(), ends)], np.array(docs)[piece], np.array(marks)[piece], np.array(bases)[piece] + begin - first[piece])
 
 
-def _pack(buckets: int, match: int, gram: int, hot: int):
+def _pack(layout: packed.Layout, match: int, gram: int, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = packed.Packer(buckets, hot)
-        held: tuple[list, list, list] = ([], [], [])
+        packer = packed.Packer(layout, hot)
+        held: tuple[list, ...] = ([], [], [], [])
         size = 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for text, doc, mark in zip(batch.column("text"), batch.column("k1").to_pylist(), batch.column("k2").to_pylist()):
                 data = (text.as_py() or "").encode()
-                doc = NO_ID if doc is None else doc
                 if len(data) < match:
                     continue
                 for base in range(0, len(data) - match + 1, packed.SCAN_BYTES):
                     piece = data[base : base + packed.SCAN_BYTES + match - 1]
-                    for kept, item in zip(held, (piece, doc, base)):
+                    for kept, item in zip(held, (piece, doc, mark, base)):
                         kept.append(item)
                     size += len(piece)
                     if size >= packed.SCAN_BYTES:
                         _scan(*held, packer, match, gram)
-                        held, size = ([], [], []), 0
+                        held, size = ([], [], [], []), 0
                     if packer.full():
                         yield from packer.flush()
         if size:
@@ -256,7 +253,7 @@ def _repeats(match: int, gram: int):
         return flagged
 
     def work(blobs: list[bytes]) -> Iterator[dict]:
-        strings, ids, docs, places, hot = packed.gather(blobs)
+        strings, ids, docs, marks, places, hot = packed.gather(blobs)
         count = np.bincount(ids, minlength=len(strings))
         windows = np.fromiter(map(len, strings), np.int64, len(strings)) - match + 1
         offset = np.cumsum(windows) - windows
@@ -275,11 +272,11 @@ def _repeats(match: int, gram: int):
         per_place = runs_of[ids]
         place = np.repeat(np.arange(len(ids)), per_place)
         run = first_run[ids[place]] + np.arange(len(place)) - (np.cumsum(per_place) - per_place)[place]
-        yield {"range_doc": docs[place], "start": places[place] + on[run] - offset[ids[place]], "length": off[run] - on[run] + match}
+        yield {"k1": docs[place], "k2": marks[place], "start": places[place] + on[run] - offset[ids[place]], "length": off[run] - on[run] + match}
 
-        def runs_of_string(s: int) -> Iterator[tuple[int, int, int]]:
+        def runs_of_string(s: int) -> Iterator[tuple[int, int, None]]:
             for k in range(first_run[s], first_run[s] + runs_of[s]):
-                yield int(on[k] - offset[s]), int(off[k] - on[k] + match), packed.ANY
+                yield int(on[k] - offset[s]), int(off[k] - on[k] + match), None
 
         yield packed.verdicts(strings, hot, runs_of_string)
 
@@ -306,33 +303,41 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH_BYTES, gram: int = GRAM_BYTES, hot: int = packed.HOT_PLACES) -> DataFrame:
-    """(range_doc, start, length): byte ranges to cut, which may overlap."""
+def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH_BYTES, gram: int = GRAM_BYTES, hot: int = packed.HOT_PLACES, crowded: int = packed.CROWDED_BYTES) -> DataFrame:
+    """(k1, k2, start, length): byte ranges to cut, which may overlap, of documents as ``packed.keyed`` names them."""
     if match < gram + PERIOD or gram < 8 or match < 3 * PERIOD:
         raise ValueError("match must be at least 48 bytes and longer than the minimiser by 16")
-    spark = docs.sparkSession
-    ship(spark)
-    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    buckets = parallelism(spark) * packed.BUCKETS_PER_PARTITION
-    rows = source.mapInArrow(lean(_pack(buckets, match, gram, hot)), packed.PACKED_SCHEMA)
-    return packed.ranges(rows, buckets, _repeats(match, gram), "bytes")
+    ship(docs.sparkSession)
+    source = packed.keyed(docs, id_col, text_col)
+
+    def weigh(texts: list[bytes], layout: packed.Layout) -> np.ndarray:
+        out = np.zeros(layout.buckets, np.int64)
+        for text in texts:
+            for at in range(0, len(text) - match + 1, packed.SCAN_BYTES):
+                least = packed.sliding_min(_grams(text[at : at + packed.SCAN_BYTES + match - 1], gram), match - gram + 1)
+                out += np.bincount(layout.bucket(least), minlength=layout.buckets)
+        return out
+
+    layout = packed.plan_layout(source, weigh, crowded)
+    rows = source.mapInArrow(lean(_pack(layout, match, gram, hot)), packed.PACKED_SCHEMA)
+    return packed.ranges(rows, layout.buckets, _repeats(match, gram), "bytes")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH_BYTES, hot: int = packed.HOT_PLACES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH_BYTES, hot: int = packed.HOT_PLACES, crowded: int = packed.CROWDED_BYTES) -> DataFrame:
     """Cut each byte that a string of ``match`` bytes which also starts elsewhere covers.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining
     bytes). Texts are whole UTF-8 byte strings, null is empty; matches never cross
     documents, may overlap, may lie in one document, and are judged on the input, so
-    every copy goes. Rows that repeat an id, null included, are searched as documents
-    of their own, and each loses the ranges found under the id (none under a null id
-    are cut). Further columns are ignored; no rows give no rows.
+    every copy goes. Every row is a document of its own, whether its id repeats or is
+    null, and loses what its own text repeats. Further columns are ignored; no rows give
+    no rows.
 
     Windows meet by minimiser in packed strings. In a bucket, suffixes that share a
     minimiser at one distance form the suffix buckets, sorted a block at a time, and
     ranks of a difference cover, computed before, settle long ties.
     """
-    ranges = repeated_ranges(docs, id_col, text_col, match, hot=hot)
+    ranges = repeated_ranges(docs, id_col, text_col, match, hot=hot, crowded=crowded)
     return with_ranges(docs, ranges, id_col, text_col).mapInArrow(
         lean(_cut), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     )

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from bilens.llm import ann, bpe, lines, mixing, quality, secret_scan, simhash, substring, suffix, urls
+from bilens.llm import ann, bpe, lines, mixing, packed, quality, secret_scan, simhash, substring, suffix, urls
 from bilens.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -185,6 +185,53 @@ def test_rows_without_an_id_are_left_alone(spark):
     assert {(r["doc_id"], r["n_removed"]) for r in substring.remove_repeats(df).collect()} == {(None, 0), (1, 0), (2, 30)}
 
 
+def repeated_id_rows():
+    """Ids that repeat with other texts, with the same text, and rows without an id."""
+    rng = random.Random(31)
+    prose = lambda n: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(n))
+    shared, alone = prose(120), prose(150)
+    rows = [(5, prose(20) + " " + shared), (5, alone), (3, shared), (5, shared), (5, shared), (None, prose(9) + " " + shared), (None, shared), (None, prose(200)), (7, alone + " " + shared)]
+    return [(i, t, "en", "s", 1) for i, t in rows]
+
+
+def test_repeated_and_missing_ids_keep_their_own_ranges(spark):
+    rows = repeated_id_rows()
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    for hot in (1, 256):
+        same(suffix.remove_repeats(df, hot=hot).drop("kept"), brute_bytes(rows, 400))
+        named = [r for r in rows if r[0] is not None]
+        expected = brute_windows(named) + [(None, len(t.split()), 0, hashlib.sha256(t.encode()).hexdigest()) for i, t, *_ in rows if i is None]
+        same(substring.remove_repeats(df, hot=hot).drop("kept"), expected)
+
+
+def test_crowded_buckets_are_dealt_by_two_pieces(docs, rows, spark):
+    """All windows of a text of few words share their least piece; the result is that of any layout."""
+    rng = random.Random(8)
+    few = [(900 + i, " ".join(rng.choice("ab") for _ in range(400)), "en", "s", 1) for i in range(12)] + [(950, "a " * 900, "en", "s", 1)]
+    every = [*rows, *few]
+    df = spark.createDataFrame(every, DOCS)
+    layout = packed.plan_layout(packed.keyed(df, "doc_id", "text"), substring._weigh(13, 3), 2000)
+    assert len(layout.crowded)
+    same(substring.remove_repeats(df, crowded=2000, hot=4).drop("kept"), brute_windows(every))
+    same(suffix.remove_repeats(df, match=96, crowded=2000, hot=4).drop("kept"), brute_bytes(every, 96))
+
+
+def test_the_two_least_values():
+    rng = np.random.default_rng(2)
+    for width in (1, 2, 5, 8, 11):
+        values = rng.integers(0, 9, 60).astype(np.uint64)
+        least, second = packed.two_least(values, width)
+        parts = [sorted(set(values[k : k + width].tolist())) for k in range(60 - width + 1)]
+        assert least.tolist() == [p[0] for p in parts] and second.tolist() == [p[1] if len(p) > 1 else 2**64 - 1 for p in parts]
+
+
+def test_covered_places():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        starts, lengths = rng.integers(0, 90, 12), rng.integers(1, 20, 12)
+        assert set(np.flatnonzero(packed.covered(80, starts, lengths))) == {x for a, n in zip(starts, lengths) for x in range(a, a + n) if x < 80}
+
+
 def brute_bytes(rows, match):
     data = [((t or "").encode(), i) for i, t, *_ in rows]
     count = Counter(d[k : k + match] for d, _ in data for k in range(len(d) - match + 1))
