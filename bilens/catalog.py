@@ -257,6 +257,19 @@ def put_refused(spark: SparkSession, sf: str) -> DataFrame:
     return put(EDIT_ORDERS, _load(spark, sf), edits, validate=False).refused
 
 
+def put_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes that would break the table's key: rows changed twice, inserts of rows that exist, unknown rows and operations."""
+    edit = lambda op, where, **v: _edits(spark, sf, op, where, **v).drop("urgent")
+    some = [
+        edit("update", "__legacy_id % 300 = 0", priority=F.lit("5-LOW")), edit("delete", "__legacy_id % 600 = 0"), edit("insert", "__legacy_id % 500 = 1"),
+        edit("update", "__legacy_id % 700 = 2", __legacy_id=F.col("__legacy_id") + 1_000_000_000), edit("merge", "__legacy_id % 800 = 3"), edit("update", "__legacy_id % 900 = 4"),
+    ]
+    changes_ = some[0]
+    for more in some[1:]:
+        changes_ = changes_.unionByName(more)
+    return put(EDIT_ORDERS, _load(spark, sf), changes_, validate=False).refused
+
+
 def put_upsert(spark: SparkSession, sf: str) -> DataFrame:
     load = _load(spark, sf)
     rows = modern_view(RENAMED, load).filter("__legacy_id % 10 = 0").select(
@@ -314,6 +327,40 @@ def reconcile_pages(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.checksums(pair, 100, ordered=True, pages=True)
 
 
+def reconcile_text_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Two copies of customers under their names, compared in pages of 100 names."""
+    customers = _load(spark, sf)(CUSTOMER).withColumn("name", F.concat(F.reverse("c_name"), F.lit("é")))
+    pair = reconcile.given(customers, customers.filter("c_custkey % 101 <> 0"), "name", {"segment": (F.col("c_mktsegment"), F.col("c_mktsegment"))})
+    return reconcile.checksums(pair, 100, ordered=True)
+
+
+def backfill_text_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """A table under a text key, filled in two runs: the first stops after three batches of 100."""
+    table = LegacyTable("names", (Field("name", "string", False), Field("code", "string")), ("name",))
+    entity = _entity("names", table, [Field("id", "string", False), Field("code", "string")], M.Key("id", "name"), M.Map("code", source="code"))
+    fill = backfill.plan(entity, overrides={"code": F.upper("name")})
+    df = _load(spark, sf)(CUSTOMER).select(F.reverse("c_name").alias("name"), F.lit(None).cast("string").alias("code"))
+    one = backfill.run(df, fill, batch_size=100, max_batches=3)
+    two = backfill.run(one.table, fill, batch_size=100)
+    state = lambda r, name: r.table.groupBy("needs_backfill").agg(F.count("code").alias("n_filled"), F.max("name").alias("top")).withColumn("run", F.lit(name))
+    return state(one, "first").unionByName(state(two, "second")).select("run", "needs_backfill", "n_filled", "top")
+
+
+def view_division(spark: SparkSession, sf: str) -> DataFrame:
+    entity = _entity(
+        "shares", ORDERS, [Field("id", "bigint", False), Field("whole", "bigint"), Field("back", "bigint"), Field("exact", "double"), Field("none", "bigint")], M.Key("id", "o_orderkey"),
+        M.Map("whole", source=E.call("div", E.ref("o_orderkey"), 7), **READ), M.Map("back", source=E.call("div", E.call("neg", E.ref("o_custkey")), 4), **READ),
+        M.Map("exact", source=E.call("div", E.ref("o_totalprice"), 4), **READ), M.Map("none", source=E.call("div", E.ref("o_custkey"), E.call("sub", E.ref("o_custkey"), E.ref("o_custkey"))), **READ),
+    )
+    return modern_view(verify(entity), _load(spark, sf)).drop(LEGACY_ID)
+
+
+def lineage_masked(spark: SparkSession, sf: str) -> DataFrame:
+    """Which columns flow into which masked attributes."""
+    edges = [lineage.edges_frame(spark, e).select(F.lit(e.name).alias("entity"), "from_column", "to_attribute", "masking") for e in (OPAQUE, EDIT_ORDERS)]
+    return edges[0].unionByName(edges[1]).distinct()
+
+
 def _filled(spark: SparkSession, sf: str) -> tuple[DataFrame, backfill.Plan]:
     fill = backfill.plan(MODERN_ORDERS, store_key="public_id", overrides={"o_totalprice": F.col("o_totalprice") + 1})
     return backfill.add_flag(_load(spark, sf)(ORDERS)), fill
@@ -464,6 +511,23 @@ def _table() -> dict[str, tuple[_Q, str | None]]:
     t["put_events"] = (put_events, "SELECT 'edit_orders' AS resource, o_orderkey::VARCHAR AS legacy_id, CASE WHEN o_orderkey % 500 = 0 THEN 'delete' ELSE 'update' END AS op FROM orders WHERE o_orderkey % 500 IN (0, 1)")
     t["put_returned"] = (put_returned, f"SELECT o_orderkey AS __legacy_id, {STATUS_SQL} AS status_code, '1-URGENT' AS priority, TRUE AS urgent FROM orders WHERE o_orderkey % 500 = 1")
     t["put_refused"] = (put_refused, "SELECT o_orderkey AS legacy_id, 'cannot write orders.urgent: it is computed from legacy columns' AS message FROM orders WHERE o_orderkey % 100 = 0 AND o_orderpriority <> '1-URGENT'")
+    t["put_conflicts"] = (put_conflicts, """WITH c AS (
+        SELECT o_orderkey AS k, 'update' AS op FROM orders WHERE o_orderkey % 300 = 0 UNION ALL SELECT o_orderkey, 'delete' FROM orders WHERE o_orderkey % 600 = 0
+        UNION ALL SELECT o_orderkey, 'insert' FROM orders WHERE o_orderkey % 500 = 1 UNION ALL SELECT o_orderkey + 1000000000, 'update' FROM orders WHERE o_orderkey % 700 = 2
+        UNION ALL SELECT o_orderkey, 'merge' FROM orders WHERE o_orderkey % 800 = 3 UNION ALL SELECT o_orderkey, 'update' FROM orders WHERE o_orderkey % 900 = 4),
+        x AS (SELECT k, op, count(*) OVER (PARTITION BY k) AS n, k IN (SELECT o_orderkey FROM orders) AS known FROM c)
+        SELECT k AS legacy_id, 'no such operation: ' || op AS message FROM x WHERE op NOT IN ('insert', 'update', 'delete')
+        UNION ALL SELECT k, 'orders has no such row' FROM x WHERE op IN ('update', 'delete') AND NOT known
+        UNION ALL SELECT k, 'orders has such a row already' FROM x WHERE op = 'insert' AND known
+        UNION ALL SELECT k, 'orders: more than one change of one row' FROM x WHERE n > 1""")
+    t["view_division"] = (view_division, "SELECT o_orderkey AS id, o_orderkey // 7 AS whole, -(o_custkey // 4) AS back, o_totalprice / 4 AS exact, NULL::BIGINT AS none FROM orders")
+    t["reconcile_text_keys"] = (reconcile_text_keys, f"""WITH n AS (SELECT reverse(c_name) || 'é' AS k, c_mktsegment AS v, c_custkey % 101 <> 0 AS there FROM customer),
+        p AS (SELECT *, (row_number() OVER (ORDER BY k) - 1) // 100 AS r, {_CELL_SQL.format('k')} || '|' || {_CELL_SQL.format('v')} AS t FROM n)
+        SELECT min(k) AS lower, max(k) AS upper, count(*) AS rows, md5(string_agg(t, chr(10) ORDER BY k)) AS legacy_sum, md5(coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (WHERE there), '')) AS view_sum, bool_and(there) AS agrees FROM p GROUP BY r""")
+    t["backfill_text_keys"] = (backfill_text_keys, """WITH n AS (SELECT reverse(c_name) AS k, row_number() OVER (ORDER BY reverse(c_name)) AS i FROM customer)
+        SELECT 'first' AS run, i > 300 AS needs_backfill, count(*) FILTER (WHERE i <= 300) AS n_filled, max(k) AS top FROM n GROUP BY i > 300
+        UNION ALL SELECT 'second', FALSE, count(*), max(k) FROM n""")
+    t["lineage_masked"] = (lineage_masked, "SELECT * FROM (VALUES ('shouted_orders', 'o_orderkey', 'id', FALSE), ('shouted_orders', 'o_orderpriority', 'status', TRUE), ('edit_orders', 'o_orderkey', 'id', FALSE), ('edit_orders', 'o_orderstatus', 'status_code', FALSE), ('edit_orders', 'o_totalprice', 'total', FALSE), ('edit_orders', 'o_orderpriority', 'priority', FALSE), ('edit_orders', 'o_orderpriority', 'urgent', TRUE)) AS v(entity, from_column, to_attribute, masking)")
     t["put_upsert"] = (put_upsert, """SELECT c_name, c_nationkey, CASE WHEN c_custkey % 20 = 0 THEN 'UPSERTED' ELSE c_mktsegment END AS c_mktsegment FROM customer
         UNION ALL SELECT c_name || ' II', c_nationkey, 'UPSERTED' FROM customer WHERE c_custkey % 20 = 10""")
     t["put_touch"] = (put_touch, f"""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN '1-URGENT' ELSE o_orderpriority END AS o_orderpriority,

@@ -90,6 +90,16 @@ _BINARY = {
 _UNARY = {"not": lambda a: ~a, "neg": lambda a: -a, "is_null": lambda a: a.isNull(), "lower": F.lower, "upper": F.upper, "trim": F.btrim, "length": F.length, "abs": F.abs, "round": F.round, "ceil": F.ceil, "floor": F.floor}
 
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _divided(x: Column, y: Column) -> Column:
+    """Of whole numbers the whole quotient, towards zero; null where the divisor is zero."""
+    whole = F.typeof(x).isin(*_WHOLE) & F.typeof(y).isin(*_WHOLE)
+    quotient = F.call_function("div", x.cast("bigint"), F.nullif(y.cast("bigint"), F.lit(0).cast("bigint")))
+    return F.when(whole, quotient).otherwise(F.try_divide(x, y))
+
+
 def compile(node: E.Expr, frame: Frame) -> Column:  # noqa: A001
     """A native column; nodes outside the language are refused by name."""
     go = lambda n: compile(E.expr(n), frame)
@@ -108,7 +118,7 @@ def compile(node: E.Expr, frame: Frame) -> Column:  # noqa: A001
             return go(a) != go(b)
         case E.Call("div", (a, b)):
             x, y = go(a), go(b)
-            return F.try_divide(x, y)
+            return _divided(x, y)
         case E.Call("in", (a, *values)):
             return go(a).isin(*[go(v) for v in values])
         case E.Call("least" | "greatest" as op, args):

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.compile import compile, quoted
 from ..functions import expr as E
@@ -14,6 +15,7 @@ from ..functions.compile import Frame
 from ..model import IDENTIFIER, DeclarationError, Entity, spark_type
 from ..plans.lens import key_of, lenses
 from ..sources.staging import pinned
+from .put import numbered
 from .view import key_column
 
 BATCH_SIZE = 1000
@@ -97,8 +99,30 @@ def apply(df: DataFrame, fill: Plan, chosen: Column | None = None) -> DataFrame:
     return df.select(*[F.col(quoted(c)) for c in kept], *made, F.when(now, False).otherwise(F.col(fill.flag)).alias(fill.flag))
 
 
+def _value_ranges(df: DataFrame, fill: Plan, size: int, limit: int | None) -> tuple[int, int, Column | None]:
+    """Flagged rows and ranges of key values that one pass takes, and which rows these are."""
+    bucket = F.floor(F.col(quoted(fill.key)) / F.lit(size))
+    per_range = df.filter(F.col(fill.flag)).groupBy(bucket.alias("range")).agg(F.count(F.lit(1)).alias("n"))
+    if limit is None:
+        seen = per_range.agg(F.count(F.lit(1)).alias("ranges"), F.sum("n").alias("n")).first()
+        return seen["n"], seen["ranges"], None
+    # Only as many lowest ranges as are still allowed.
+    seen = per_range.orderBy("range").limit(limit).agg(F.count(F.lit(1)).alias("ranges"), F.sum("n").alias("n"), F.max("range").alias("top")).first()
+    return seen["n"], seen["ranges"], bucket <= F.lit(seen["top"])
+
+
+def _counted_ranges(df: DataFrame, fill: Plan, size: int, limit: int | None, left: int) -> tuple[int, int, Column | None]:
+    """The same in key order, ``size`` flagged rows a range; rows of one key are taken together."""
+    if limit is None or left <= limit * size:
+        return left, -(-left // size), None
+    key = F.col(quoted(fill.key))
+    keys = df.filter(F.col(fill.flag)).select(key.alias("key"))
+    top = numbered(keys, [F.col("key")], F.lit(0)).filter(F.col("number") == limit * size).first()["key"]
+    return keys.filter(F.col("key") <= F.lit(top)).count(), limit, key <= F.lit(top)
+
+
 def run(df: DataFrame, fill: Plan, batch_size: int = BATCH_SIZE, max_batches: int | None = None, progress: Callable[[int, int], None] | None = None, again: Callable[[DataFrame], DataFrame] | None = None) -> Result:
-    """Fill what is flagged, in ranges of ``batch_size`` key values, lowest first.
+    """Fill what is flagged, in ranges of ``batch_size`` key values, lowest first; keys that are no numbers go by count.
 
     All ranges of a pass are filled at once; ``max_batches`` stops after so many, and a
     later run goes on from the flags. ``again`` stands for writers meanwhile: it gets the
@@ -110,21 +134,17 @@ def run(df: DataFrame, fill: Plan, batch_size: int = BATCH_SIZE, max_batches: in
     df = add_flag(df, fill.flag)
     total = pending(df, fill.flag).first()["pending"]
     rows = batches = passes = idle = 0
-    bucket = F.floor(F.col(quoted(fill.key)) / F.lit(batch_size))
+    numbers = isinstance(df.schema[fill.key].dataType, NumericType)
     left = total
     while left:
         passes += 1
-        per_range = df.filter(F.col(fill.flag)).groupBy(bucket.alias("range")).agg(F.count(F.lit(1)).alias("n"))
         limit = None if max_batches is None else max_batches - batches
-        if limit is None:
-            seen = per_range.agg(F.count(F.lit(1)).alias("ranges"), F.sum("n").alias("n")).first()
-            top = None
+        if numbers:
+            n_rows, n_ranges, chosen = _value_ranges(df, fill, batch_size, limit)
         else:
-            # Only as many lowest ranges as are still allowed.
-            seen = per_range.orderBy("range").limit(limit).agg(F.count(F.lit(1)).alias("ranges"), F.sum("n").alias("n"), F.max("range").alias("top")).first()
-            top = seen["top"]
-        df = pinned(apply(df, fill, None if top is None else bucket <= F.lit(top)))
-        rows, batches = rows + seen["n"], batches + seen["ranges"]
+            n_rows, n_ranges, chosen = _counted_ranges(df, fill, batch_size, limit, left)
+        df = pinned(apply(df, fill, chosen))
+        rows, batches = rows + n_rows, batches + n_ranges
         if progress:
             progress(rows, total)
         if again is not None:

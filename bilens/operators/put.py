@@ -47,18 +47,22 @@ def numbered(df: DataFrame, order: list[Column], start: Column) -> DataFrame:
     return ranged.withColumn("place", place).join(before, "part").withColumn("number", start + F.col("before") + F.col("place")).drop("part", "place", "before")
 
 
-def _guards(entity: Entity, by_name, joined: DataFrame) -> DataFrame:
-    """(legacy_id, message): changes that the declaration does not allow."""
-    table = entity.source.table.name
-    found = [F.when((F.col("new.op") != "insert") & F.col(quoted("old", LEGACY_ID)).isNull(), F.lit(f"{table} has no such row"))]
+def _problems(entity: Entity, by_name) -> Column:
+    """What the declaration and the table's key do not allow of one change, as an array of messages."""
+    table, known = entity.source.table.name, F.col(quoted("old", LEGACY_ID)).isNotNull()
+    found = [
+        F.when(~F.coalesce(F.col("new.op").isin("insert", "update", "delete"), F.lit(False)), F.concat(F.lit("no such operation: "), F.coalesce("new.op", F.lit("null")))),
+        F.when(F.col("new.op").isin("update", "delete") & ~known, F.lit(f"{table} has no such row")),
+        F.when((F.col("new.op") == "insert") & known, F.lit(f"{table} has such a row already")),
+        F.when(F.col("times") > 1, F.lit(f"{table}: more than one change of one row")),
+    ]
     for lens in by_name.values():
         if lens.writes or lens.kind == "structural":
             continue
         new, old = F.col(quoted("new", lens.attribute)), F.col(quoted("old", lens.attribute))
         changed = ((F.col("new.op") == "insert") & new.isNotNull()) | ((F.col("new.op") == "update") & ~new.eqNullSafe(old))
         found.append(F.when(changed, F.lit(f"cannot write {table}.{lens.attribute}: {lens.because or 'it is only read'}")))
-    checks = joined.select(F.col(quoted("new", LEGACY_ID)).alias("legacy_id"), F.array(*found).alias("m"))
-    return checks.select("legacy_id", F.explode(F.filter("m", lambda x: x.isNotNull())).alias("message"))
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
 def put(entity: Entity, load: Load, changes: DataFrame, now: Any = None, validate: bool = True) -> PutResult:
@@ -67,9 +71,11 @@ def put(entity: Entity, load: Load, changes: DataFrame, now: Any = None, validat
     op is insert, update or delete. Attributes that ``changes`` lacks keep their value on
     update, and are null on insert. An insert without an id gets the next free one.
     Columns that no attribute writes keep their value, or take the table's declared
-    default on insert. One join on the legacy id carries all updates and deletes. With
-    ``validate`` the guards run first and refuse the whole set; else ``refused`` has what
-    they would say, and those changes are left out.
+    default on insert. One join on the legacy id carries all updates and deletes. The
+    table's key holds: an insert of an id that exists and several changes of one id are
+    refused, all of them, as an unknown row or operation is. With ``validate`` the guards
+    run first and refuse the whole set; else ``refused`` has what they would say, and
+    those changes are left out.
     """
     if entity.phase not in (Phase.DUAL_WRITE, Phase.READ_FROM_LEGACY) or entity.source.writes == "none":
         raise DeclarationError(f"{entity.name} does not write to its legacy table in phase {entity.phase.value}")
@@ -88,18 +94,19 @@ def put(entity: Entity, load: Load, changes: DataFrame, now: Any = None, validat
     # One row for each change, with the whole new row: what was not given stays.
     full = joined.select(
         F.col("new.op").alias(OP), F.col(quoted("new", LEGACY_ID)).alias(LEGACY_ID),
-        F.struct(*[(F.col(quoted("new", a)) if a in given else F.col(quoted("old", a))).alias(a) for a in by_name]).alias("new"),
+        F.struct(*[(F.col(quoted("new", a)) if a in given else F.when(F.col("new.op") != "insert", F.col(quoted("old", a)))).alias(a) for a in by_name]).alias("new"),
         F.struct(*[F.col(quoted("old", c)).alias(c) for c in old.columns]).alias("old"),
     )
     full = full.withColumn("new", F.col("new").withField(OP, F.col(OP)).withField(LEGACY_ID, F.col(LEGACY_ID)))
-    refused = _guards(entity, by_name, full)
+    # A row may be changed once: two changes of it have no order.
+    times = changes.filter(F.col(LEGACY_ID).isNotNull()).groupBy(F.col(LEGACY_ID).alias("times_id")).agg(F.count(F.lit(1)).alias("times"))
+    full = full.join(times.filter("times > 1"), F.col(LEGACY_ID) == F.col("times_id"), "left").withColumn("problems", _problems(entity, by_name)).drop("times_id", "times")
+    refused = full.select(F.col(LEGACY_ID).alias("legacy_id"), F.explode("problems").alias("message"))
     if validate:
         some = refused.limit(5).collect()
         if some:
             raise WriteRefused(f"{refused.count()} changes refused: " + "; ".join(f"{r['message']} (id {r['legacy_id']})" for r in some))
-    else:
-        bad = refused.select(F.col("legacy_id").alias("bad_id")).distinct()
-        full = full.join(bad, F.col(LEGACY_ID) == F.col("bad_id"), "left_anti")
+    full = full.filter(F.size("problems") == 0).drop("problems")
     targets = {c: w for c, w in write_targets(entity, by_name).items() if c != key}
     new_name = lambda r: quoted("new", r.name)
     inserting = Frame(new_name, now)
@@ -126,7 +133,11 @@ def put(entity: Entity, load: Load, changes: DataFrame, now: Any = None, validat
     if added.filter(F.col(LEGACY_ID).isNull()).isEmpty():
         ids = added.withColumn("number", F.col(LEGACY_ID))
     else:
-        top = legacy.agg(F.coalesce(F.max(key), F.lit(0))).scalar()
+        top = legacy.agg(F.coalesce(F.max(key), F.lit(0)).alias("top")).first()["top"]
+        given_id, wanted = F.col(LEGACY_ID), added.filter(F.col(LEGACY_ID).isNull()).count()
+        # Given ids in the way of the next free ones: go on above all of them.
+        taken = added.agg(F.max(given_id).alias("most"), F.count_if((given_id > top) & (given_id <= top + wanted)).alias("n")).first()
+        top = F.lit(max(top, taken["most"]) if taken["n"] else top)
         free = numbered(added.filter(F.col(LEGACY_ID).isNull()), [F.xxhash64("new"), F.to_json("new")], top)
         ids = free.unionByName(added.filter(F.col(LEGACY_ID).isNotNull()).withColumn("number", F.col(LEGACY_ID)))
     ids = ids.withColumn(LEGACY_ID, F.col("number").cast(kind))
@@ -145,8 +156,9 @@ def put(entity: Entity, load: Load, changes: DataFrame, now: Any = None, validat
 def as_upsert(entity: Entity, load: Load, rows: DataFrame, identity: tuple[str, ...]) -> DataFrame:
     """Changes that update the rows whose identity exists and insert the others.
 
-    Rows with a null in the identity are inserts, nulls being distinct. ``rows`` must not
-    repeat an identity.
+    Rows with a null in the identity are inserts, nulls being distinct. Rows that repeat
+    an identity have no order: they come out as the operation ``repeated identity``,
+    which ``put`` refuses.
     """
     if tuple(identity) not in entity.identities:
         raise DeclarationError(f"{entity.name} has no identity {identity}")
@@ -156,5 +168,12 @@ def as_upsert(entity: Entity, load: Load, rows: DataFrame, identity: tuple[str,
     condition = on[0]
     for more in on[1:]:
         condition = condition & more
-    joined = rows.drop(LEGACY_ID).join(known, condition, "left")
-    return joined.select(F.when(F.col(LEGACY_ID).isNull(), "insert").otherwise("update").alias(OP), LEGACY_ID, *[c for c in rows.columns if c != LEGACY_ID])
+    whole = F.lit(True)
+    for i in identity:
+        whole = whole & F.col(i).isNotNull()
+    times = rows.filter(whole).groupBy(*[F.col(i).alias(f"times_{i}") for i in identity]).agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    repeated = F.lit(True)
+    for i in identity:
+        repeated = repeated & (rows[i] == times[f"times_{i}"])
+    joined = rows.drop(LEGACY_ID).join(known, condition, "left").join(times, repeated, "left")
+    return joined.select(F.when(F.col("times") > 1, "repeated identity").when(F.col(LEGACY_ID).isNull(), "insert").otherwise("update").alias(OP), LEGACY_ID, *[c for c in rows.columns if c != LEGACY_ID])

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.compile import compile, qualified
 from ..model import LEGACY_ID, DeclarationError, Entity, Field
 from ..plans.lens import key_of, lenses
 from ..sources.staging import pinned
 from ..sources.tables import Load
+from .put import numbered
 from .view import attribute_column, joined_source
 
 RANGE_SIZE = 1000
@@ -88,18 +90,18 @@ def count_drift(pair: Pair) -> DataFrame:
 def _ranged(pair: Pair, size: int, pages: bool) -> DataFrame:
     sides = [df.select(F.lit(k).alias("side"), F.col(LEGACY_ID).alias("key"), encoded([F.col(LEGACY_ID), *[F.col(c) for c in pair.columns]]).alias("text")) for k, df in enumerate((pair.legacy, pair.modern))]
     both = sides[0].unionByName(sides[1])
-    if not pages:
+    if not pages and isinstance(both.schema["key"].dataType, NumericType):
         return both.withColumn("range", F.floor(F.col("key") / F.lit(size)).cast("bigint"))
-    # Pages of exactly ``size`` keys of either side: a number for each key needs them in order.
-    keys = both.select("key").distinct()
-    numbered = keys.withColumn("range", F.floor((F.row_number().over(Window.orderBy("key")) - 1) / F.lit(size)).cast("bigint"))
-    return both.join(numbered, "key")
+    # Pages of exactly ``size`` keys of either side: keys are numbered in order, by ranges.
+    pages_ = numbered(both.select("key").distinct(), [F.col("key")], F.lit(0)).select(F.col("key").alias("page_key"), F.floor((F.col("number") - 1) / F.lit(size)).cast("bigint").alias("range"))
+    return both.join(pages_, F.col("key").eqNullSafe(F.col("page_key"))).drop("page_key")
 
 
 def checksums(pair: Pair, size: int = RANGE_SIZE, ordered: bool = False, pages: bool = False) -> DataFrame:
     """(lower, upper, rows, legacy_sum, view_sum, agrees) of each range of keys, in one pass over both sides.
 
-    Ranges are of key values, so that no sort of all keys is needed; keys are numbers.
+    Ranges of numbers are of key values, so that no sort of all keys is needed; keys of
+    any other type that has an order are cut by count.
     A sum is order-free and mergeable: counts, exclusive-or and total of row hashes, the
     key among them. ``ordered`` digests the rows' texts in key order instead, which any
     database can repeat; ``pages`` cuts by count, which needs all keys in one order.

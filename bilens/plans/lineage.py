@@ -77,7 +77,7 @@ def edges(entity: Entity) -> list[Edge]:
     table = entity.source.table
     out: list[Edge] = []
     for name, lens in lenses(entity).items():
-        masked = lens.kind == "masked" and lens.opaque
+        masked = lens.kind == "masked"
         rest = (lens.invertible, lens.combinator, described(lens))
         deciding = _guard_refs(lens)
         for r in lens.sources:

@@ -132,6 +132,20 @@ def test_reverse_view(spark, sf):
 # --- Writing
 
 
+def test_the_key_holds(spark, load):
+    row = ("n@x", "Cy Doe", True, 1, datetime(2022, 2, 2), None)
+    twice = change(spark, ("update", 1, *row), ("update", 1, *row), ("insert", 2, *row), ("insert", 70, *row), ("insert", 70, *row), ("upsert", 3, *row), ("insert", None, *row))
+    said = {(r["legacy_id"], r["message"].partition(": ")[2] or r["message"]) for r in put(PEOPLE, load, twice, validate=False).refused.collect()}
+    assert {i for i, _ in said} == {1, 2, 70, 3}
+    rows = after(put(PEOPLE, load, twice, validate=False))
+    assert len(rows) == put(PEOPLE, load, twice, validate=False).legacy.count() and 70 not in rows
+    with pytest.raises(WriteRefused):
+        put(PEOPLE, load, twice)
+    near = max(rows)
+    free = put(PEOPLE, load, change(spark, ("insert", None, *row), ("insert", None, *row), ("insert", near + 1, *row)), validate=False).legacy
+    assert free.count() == free.select("id").distinct().count()
+
+
 def test_updates_inserts_and_deletes(spark, load):
     result = put(PEOPLE, load, change(
         spark,
