@@ -276,36 +276,39 @@ def test_suffix_order_is_the_order_of_bytes():
 # --- Lines
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
 def brute_lines(rows, least=lines.MIN_SIMILARITY):
     """What stays of each document, by comparing all distinct lines with one another."""
-    order = sorted({(i if i is not None else lines.NO_ID, t) for i, t, *_ in rows if t is not None})
-    first, code = {}, {}
-    for i, t in order:
+    order = sorted({(i if i is not None else lines.NO_ID, signed(xxhash.xxh64_intdigest(t.encode(), 42)), t) for i, t, *_ in rows if t is not None})
+    first = {}
+    for i, mark, t in order:
         for n, plain in enumerate(lines.normalised_lines(t)):
             if plain:
-                first[plain] = min(first.get(plain, (i, n)), (i, n))
-    for plain in first:
-        if plain.count(b" ") + 1 >= lines.FUZZY_WORDS:
-            code[plain] = int(lines.line_codes([plain])[0]) % 2**64
-    leader = {}
-    for plain in sorted(code, key=lambda p: first[p]):
-        leader.setdefault(code[plain], plain)
-    close = lambda a, b: lines.similarity(a.decode(), b.decode()) >= least
-    label = brute_components(set(leader), lambda a, b: (a ^ b).bit_count() <= lines.MAX_DISTANCE and close(leader[a], leader[b]))
-    keeper = {}
-    for c, lead in leader.items():
-        keeper[label[c]] = min(keeper.get(label[c], first[lead]), first[lead])
-    stays = {}
-    for plain in first:
-        mine = plain in code and (leader[code[plain]] == plain or close(plain, leader[code[plain]]))
-        stays[plain] = keeper[label[code[plain]]] if mine else first[plain]
+                first[plain] = min(first.get(plain, (i, mark, n)), (i, mark, n))
+    short = {p for p in first if p.count(b" ") + 1 < lines.FUZZY_WORDS}
+    sketch = {p: set(lines.line_sketches([p])[0].tolist()) for p in first if p not in short}
+    code = {p: int(lines.line_codes([p])[0]) % 2**64 for p in sketch}
+
+    def linked(a, b):
+        if (a in short) != (b in short) or a not in short and (not sketch[a] & sketch[b] or (code[a] ^ code[b]).bit_count() > lines.CODE_BITS):
+            return False
+        return lines.similarity(a.decode(), b.decode()) >= least
+
+    label, keeper = brute_components(set(first), linked), {}
+    for plain, at in first.items():
+        keeper[label[plain]] = min(keeper.get(label[plain], at), at)
     out = []
     for i, t, *_ in rows:
         if t is None:
             out.append((i, None, 0, 0))
             continue
+        mark = signed(xxhash.xxh64_intdigest(t.encode(), 42))
+        own = i if i is not None else lines.NO_ID
         plain = lines.normalised_lines(t)
-        kept = [x for n, x in enumerate(t.split("\n")) if not plain[n] or stays[plain[n]] == (i, n)]
+        kept = [x for n, x in enumerate(t.split("\n")) if not plain[n] or keeper[label[plain[n]]] == (own, mark, n)]
         out.append((i, "\n".join(kept), len(plain), len(plain) - len(kept)))
     return out
 
@@ -326,12 +329,44 @@ def line_rows():
     return rows
 
 
-@pytest.mark.parametrize("dense", [1, lines.DENSE_BUCKET])
-def test_lines(spark, dense, monkeypatch):
+def test_lines(spark):
     rows = line_rows()
-    monkeypatch.setattr(lines.code_pairs, "__defaults__", (dense,))
-    got = lines.dedup_lines(spark.createDataFrame(rows, DOCS).repartition(3))
-    same(got, brute_lines(rows))
+    # Ids that repeat with other texts, and rows without an id.
+    rows += [(3, rows[9][1], "en", "s", 1), (3, rows[9][1].upper() + "\nand something else of its own", "en", "s", 1), (None, rows[5][1], "en", "s", 1), (None, "only here and nowhere else at all", "en", "s", 1)]
+    same(lines.dedup_lines(spark.createDataFrame(rows, DOCS).repartition(3)), brute_lines(rows))
+
+
+def test_lines_with_some_edits_are_found(spark):
+    """Recall against all pairs of the wanted similarity, in lines of words changed, added, left out or misspelt."""
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choice("abdeghiklmnorstu") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.randint(5, 70))] for _ in range(150)]
+
+    def varied(words):
+        words = list(words)
+        for _ in range(rng.randint(1, max(1, len(words) // 7))):
+            at = rng.randrange(len(words))
+            words[at : at + rng.choice([0, 1, 1, 1])] = rng.choice([[rng.choice(vocabulary)], [], [words[at] + "x"]])
+        return " ".join(words)
+
+    forms = sorted({f for w in base for f in (" ".join(w), varied(w), varied(w)) if f.count(" ") >= 4})
+    plain = [f.encode() for f in forms]
+    triples, counts = lines.line_sketches(plain)
+    sketches = np.split(triples, np.cumsum(counts)[:-1])
+    data = [(k, int(lines.line_codes([x])[0]), len(f), s.tolist()) for k, (f, x, s) in enumerate(zip(forms, plain, sketches))]
+    df = spark.createDataFrame(data, "form bigint, fp bigint, size int, sketch array<bigint>")
+    truth = {(a, b) for a in range(len(forms)) for b in range(a + 1, len(forms)) if min(len(forms[a]), len(forms[b])) >= 0.8 * max(len(forms[a]), len(forms[b])) and lines.similar(forms[a], forms[b], 0.8)}
+    holders = defaultdict(set)
+    for k, _, _, s in data:
+        for t in s:
+            holders[t].add(k)
+    for dense in (2, 1024):
+        found = {(r["a"], r["b"]) for r in lines.form_pairs(df, 0.8, dense).collect()}
+        assert len(truth) > 200 and (dense == 2 or len(found & truth) >= 0.95 * len(truth))
+        # All that meet under a triple which is not crowded are found.
+        near = {(a, b) for t in holders.values() if len(t) <= dense for a in t for b in t if a < b}
+        codes = {k: c % 2**64 for k, c, _, _ in data}
+        assert {(a, b) for a, b in near & truth if (codes[a] ^ codes[b]).bit_count() <= lines.CODE_BITS} <= found
 
 
 def test_lines_of_the_sample_and_of_nothing(docs, rows, none):
