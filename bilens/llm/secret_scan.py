@@ -74,9 +74,18 @@ def is_random(run: str, encoding, most: float = MAX_CHARS_PER_TOKEN) -> bool:
 
 def random_spans(text: str, base: list[tuple[int, int, int]], encoding, most: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
     """Runs outside ``base`` with few characters per token, known digests and identifiers left out."""
-    out = []
+    busy: list[list[int]] = []
+    for a, _, b in sorted(base):
+        if busy and a <= busy[-1][1]:
+            busy[-1][1] = max(busy[-1][1], b)
+        else:
+            busy.append([a, b])
+    out, k = [], 0
+    # Both lists are in order, so one walk finds what overlaps.
     for m in CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, _, b in base) and is_random(m.group(), encoding, most):
+        while k < len(busy) and busy[k][1] <= m.start():
+            k += 1
+        if (k == len(busy) or busy[k][0] >= m.end()) and is_random(m.group(), encoding, most):
             out.append((m.start(), 3, m.end()))
     return out
 
