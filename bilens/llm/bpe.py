@@ -20,11 +20,11 @@ from .storage import lean, ship
 
 #: Fixed: how the vocabulary's published pre-tokeniser cuts a text.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens kept with their codes, in each of two generations.
+#: Closed pre-tokens whose tokens the transducer remembers, in each of two generations, and their longest.
 CACHE_ENTRIES = 250_000
 CACHED_CHARS = 48
 #: Bytes worked on at once besides the lookahead.
-STEP_BYTES = 2048
+STEP_BYTES = 256
 _PIECES = 50_000
 _BATCH_BYTES = 16 << 20
 
@@ -65,13 +65,17 @@ def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
 
 
 class Transducer:
-    """Bytes in, tokens out, with memory for the lookahead and one step only."""
+    """Bytes with boundaries in, tokens out, with memory for the lookahead and one step only.
+
+    ``feed`` takes bytes of the open pre-token and gives the tokens that nothing to come can
+    change: those that end ``lookahead`` bytes before what is held. ``close`` is a boundary,
+    which no merge crosses, so all that is held becomes stable and is emitted.
+    """
 
     def __init__(self, model: Bpe) -> None:
         self.model, self.held = model, b""
 
     def feed(self, data: bytes) -> Iterator[int]:
-        """Tokens that nothing to come can change."""
         for at in range(0, len(data), STEP_BYTES):
             self.held += data[at : at + STEP_BYTES]
             if len(self.held) < STEP_BYTES + self.model.lookahead:
@@ -84,29 +88,33 @@ class Transducer:
                 yield token
             self.held = self.held[end:]
 
-    def finish(self) -> Iterator[int]:
+    def close(self) -> Iterator[int]:
         held, self.held = self.held, b""
         yield from self.model.merge(held)
 
+    def run(self, pieces: Iterable[str]) -> Iterator[bytes]:
+        """The tokens of a stream of closed pre-tokens, as little-endian 32-bit numbers."""
+        return map(self.model.closed.__getitem__, pieces)
+
 
-class _Codes(dict):
-    """Pre-token -> its tokens as little-endian 32-bit numbers; what is used stays."""
+class _Closed(dict):
+    """Closed pre-token -> what the transducer emits for it; short ones are remembered, those in use longest."""
 
     def __init__(self, model: Bpe) -> None:
         super().__init__()
-        self.model, self.older = model, {}
+        self.machine, self.older = Transducer(model), {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(piece) > CACHED_CHARS:
-            transducer = Transducer(self.model)
-            return array("I", transducer.feed(piece.encode())).tobytes() + array("I", transducer.finish()).tobytes()
         codes = self.older.get(piece)
         if codes is None:
-            codes = array("I", self.model.merge(piece.encode())).tobytes()
-        if len(self) >= CACHE_ENTRIES:
-            self.older = dict(self)
-            self.clear()
-        self[piece] = codes
+            codes = array("I", self.machine.feed(piece.encode()))
+            codes.extend(self.machine.close())
+            codes = codes.tobytes()
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = codes
         return codes
 
 
@@ -131,7 +139,7 @@ class Bpe:
         self.table = [self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)]
         self.pattern = regex.compile(PRETOKENS)
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.codes = _Codes(self)
+        self.closed = _Closed(self)
 
     def merge(self, data: bytes) -> list[int]:
         """Tokens of a bounded string: the first merge in the list goes first, leftmost first."""
@@ -169,15 +177,15 @@ class Bpe:
 
     def encode(self, text: str) -> bytes:
         """Tokens of a whole text as little-endian 32-bit numbers."""
-        out = []
+        out, machine = [], Transducer(self)
         for k, part in enumerate(self.split.split(text) if self.split and any(s in text for s in self.special) else [text]):
             if k % 2:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
             elif len(part) <= 1 << 20:
-                out.append(b"".join(map(self.codes.__getitem__, self.pattern.findall(part))))
+                out.append(b"".join(machine.run(self.pattern.findall(part))))
             else:
                 found = self.pattern.finditer(part)
-                while piece := b"".join([self.codes[m.group()] for m in islice(found, _PIECES)]):
+                while piece := b"".join(machine.run([m.group() for m in islice(found, _PIECES)])):
                     out.append(piece)
         return b"".join(out)
 
@@ -265,8 +273,23 @@ def encode_checked(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     return source.mapInArrow(lean(run), "doc_id bigint, n_tokens bigint, ids binary, round_trip boolean")
 
 
+def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded): each row's tokens, and the text that these decode to, in one pass."""
+    ship(docs.sparkSession)
+    path = path or vocabulary_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load(path)
+        coded = ((i, model.encode(t.as_py() or "")) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1)))
+        rows = ((i, len(c) // 4, c, model.decode(c)) for i, c in coded)
+        yield from _batches(rows, [pa.int64(), pa.int64(), pa.binary(), pa.string()], ["doc_id", "n_tokens", "ids", "decoded"], lambda r: 2 * len(r[2]))
+
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(lean(run), "doc_id bigint, n_tokens bigint, ids binary, decoded string")
+
+
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row's tokens and of their text."""
-    return decode(encode(docs, path), path).select(
+    return encode_decode(docs, path).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )
