@@ -464,11 +464,35 @@ def test_the_transducer_keeps_a_bounded_buffer(tokenizer):
     for at in range(0, len(data), 700):
         out += machine.feed(data[at : at + 700])
         most = max(most, len(machine.held))
-    out += machine.finish()
+    out += machine.close()
     assert out == tokenizer.encode(data.decode(), add_special_tokens=False).ids
     assert most <= 2 * bpe.STEP_BYTES + model.lookahead + 128
 
 
+def test_all_tokens_come_from_the_transducer(tokenizer, monkeypatch):
+    """Each distinct pre-token passes through it, in steps, and what it emits is what is encoded."""
+    model, fed, given = bpe.Bpe(bpe.vocabulary_path()), [], []
+    feed, close = bpe.Transducer.feed, bpe.Transducer.close
+
+    def spy(inner, log):
+        def run(self, *args):
+            for token in inner(self, *args):
+                log.append(token)
+                yield token
+
+        return run
+
+    monkeypatch.setattr(bpe.Transducer, "feed", spy(feed, fed))
+    monkeypatch.setattr(bpe.Transducer, "close", spy(close, given))
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeinothrs") for _ in range(n)) for n in (3, 9, 40, 700, 5000, 30_000)]
+    text = " ".join(words)
+    ids = np.frombuffer(model.encode(text), "<u4").tolist()
+    assert ids == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(fed) + len(given) == len(ids) and len(fed) > 0.9 * len(ids)
+    assert np.frombuffer(model.encode(text), "<u4").tolist() == ids
+
+
 def test_decoding_bytes_that_are_no_text():
     model = bpe.load(bpe.vocabulary_path())
     codes = np.array([model.start[b] for b in b"a\xe6\xbc\xa2\xff\xe6\xbcz"], "<u4").tobytes()
@@ -584,6 +608,26 @@ def test_secrets(spark, rows, none):
     assert secret_scan.scan(none).count() == 0
 
 
+def test_long_runs_and_many_spans_take_linear_time():
+    import time
+
+    encoding = secret_scan._encoding(*secret_scan.vocabulary())
+    rng = random.Random(3)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)) + "1"
+    start = time.perf_counter()
+    secret_scan.random_spans(letters, secret_scan.base_spans(letters), encoding)
+    assert time.perf_counter() - start < 1
+    many = " ".join(f"token=abc{k % 10}def" if k % 2 else "plainwordsinarowhere" for k in range(200_000))
+    start = time.perf_counter()
+    spans = secret_scan.base_spans(many)
+    assert len(spans) == 100_000
+    middle = time.perf_counter()
+    secret_scan.random_spans(many, spans, encoding)
+    print(middle - start, time.perf_counter() - middle)
+    # The overlap test alone is a fraction of this; each run is judged by the vocabulary once.
+    assert time.perf_counter() - middle < 5
+
+
 def test_random_runs_of_letters_and_short_ones():
     encoding = secret_scan._encoding(*secret_scan.vocabulary())
     found = lambda text: secret_scan.random_spans(text, [], encoding)
