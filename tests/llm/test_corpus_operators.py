@@ -738,6 +738,29 @@ def test_nearest_neighbours(spark, monkeypatch):
     assert ann.nearest(df.filter("false")).count() == 0
 
 
+def test_the_stopping_test_stops(spark, monkeypatch):
+    """Noisy copies of some centres, of any length: most vectors are never compared in full, and most neighbours are found."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((60, 24))
+    length = np.exp(0.3 * rng.standard_normal(6000))
+    points = ((centres[np.arange(6000) % 60] + 0.25 * rng.standard_normal((6000, 24))) * length[:, None]).astype(np.float32)
+    monkeypatch.setattr(ann, "TILE_VECTORS", 400)
+    monkeypatch.setattr(ann, "SAMPLE", 3000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "vec_id bigint, embedding array<float>")
+    got = ann.nearest(df).collect()
+    found, compared = defaultdict(set), {}
+    for r in got:
+        found[r["query_id"]].add(r["vec_id"])
+        compared[r["query_id"]] = r["compared"]
+    exact, hits = points.astype(float), 0
+    for q in found:
+        score = exact @ exact[q]
+        score[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-score)[:20].tolist()))
+    assert len(found) == 300 and hits >= 0.9 * 20 * 300
+    assert sum(compared.values()) <= 0.4 * 6000 * 300
+
+
 def test_chi_square():
     assert ann.chi_square(ann.chi_square_quantile(0.95, 8), 8) == pytest.approx(0.95)
     assert ann.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
