@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import lean, parallelism, stored
@@ -175,10 +175,15 @@ def plan_layout(source: DataFrame, weigh: Callable[[list[bytes], Layout], np.nda
     return Layout(buckets, np.array(sorted(full), np.int32))
 
 
+def row_keys(id_col: str, text_col: str) -> list[Column]:
+    """k1 and k2: a row's id (a hash of its text where it has none) and a hash of its text."""
+    id_, text = F.col(id_col).cast("bigint"), F.col(text_col).cast("string")
+    return [F.coalesce(id_, F.xxhash64(F.lit("without id"), text)).alias("k1"), F.xxhash64(text).alias("k2")]
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, k1, k2): each row under two numbers, its id (a hash of the text where there is none) and a hash of its text."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.select("id", "text", F.coalesce("id", F.xxhash64(F.lit("without id"), F.col("text"))).alias("k1"), F.xxhash64("text").alias("k2"))
+    """(id, text, k1, k2): each row with its two numbers."""
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), *row_keys(id_col, text_col))
 
 
 def runs(values: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -150,7 +150,10 @@ def text_hashes(text: str, lang: str) -> list[Column]:
 
 
 def measures(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row of counts and fertility measures for each row of ``docs``, and a row number-free copy of its id."""
+    """One row of counts and fertility measures for each row of ``docs``, with hashes of its text and language.
+
+    Null and empty texts have no words and no tokens, and all their measures are zero.
+    """
     ship(docs.sparkSession)
     path = path or vocabulary_path()
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
@@ -235,5 +238,5 @@ def rules(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~F.coalesce(bad, F.lit(False))).alias("kept"),
-        "band_group", "n_tokens", "chars_per_token", "byte_share", "token_entropy",
+        "band_group", "n_tokens", "chars_per_token", "byte_share", "token_entropy", "text_hash1", "text_hash2",
     )

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import packed
 from .components import connected_components
 from .storage import cut, lean, ship, stored
 
@@ -19,6 +20,16 @@ MAX_DISTANCE = 2
 DENSE_BUCKET = 64
 _BLOCK = 1 << 15
 
+#: Near-duplicates by similarity: words of a shingle, and the least Jaccard similarity of two texts' shingles.
+SIMILAR_WORDS, MIN_SIMILARITY = 5, 0.8
+#: Segments of the longer fingerprint and their bits. At a similarity of 0.8 a bit differs with probability
+#: 0.15, so a segment agrees up to one bit with probability 0.13, and some segment does with 0.92; at 0.9, with 0.999.
+SEGMENTS, SEGMENT_BITS = 18, 22
+#: Bits of 64 further ones that may differ: 10 are to be expected at a similarity of 0.8, and 32 of unlike texts.
+CODE_BITS = 20
+#: Numbers of wanted texts that are broadcast at most, in bytes.
+BROADCAST_BYTES = 32 << 20
+
 
 def shingle_hashes(text: str | None, width: int = SHINGLE_WORDS) -> list[int]:
     """XXH64 (seed 42) of each word shingle of the whole text, repeats included."""
@@ -125,3 +136,102 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of_code, "fp").select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def long_fingerprint(hashes: np.ndarray, segments: int = SEGMENTS, bits: int = SEGMENT_BITS) -> tuple[int, list[int]]:
+    """A 64-bit SimHash of distinct shingle hashes, and the segments of a longer one, each with its number above its bits."""
+    words = 1 + -(-segments * bits // 64)
+    salts = packed.mix64(np.arange(1, words + 1, dtype=np.uint64))
+    counts = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), 4096):
+        block = packed.mix64(hashes[at : at + 4096, None] ^ salts[None, :])
+        counts += np.unpackbits(block.view(np.uint8).reshape(len(block), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    on = 2 * counts > len(hashes)
+    parts = on[64 : 64 + segments * bits].reshape(segments, bits) @ (1 << np.arange(bits))
+    return int(np.packbits(on[:64], bitorder="little").view("<i8")[0]), [(k << bits) | int(x) for k, x in enumerate(parts)]
+
+
+def distinct_shingles(text: str | None, width: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
+
+
+def _segment_links(nodes: DataFrame, dense: int) -> DataFrame:
+    """(a, b): nodes (node, code, segments) that agree in a segment up to one bit and in their codes up to CODE_BITS.
+
+    Each node is in a table for each segment and probes it with the ball of radius 1; of
+    two values that differ in a bit, the one where it is 0 probes. A value that more than
+    ``dense`` nodes have would bring pairs that grow with its square: there all meet the
+    least node, and those whose codes are within two bits are linked exactly, as
+    ``fingerprint_links`` does it.
+    """
+    ball = f"filter(transform(sequence(0, {SEGMENT_BITS - 1}), i -> IF((s & shiftleft(1L, i)) = 0, s | shiftleft(1L, i), NULL)), k -> k IS NOT NULL)"
+    table = nodes.select("node", "code", F.explode("segments").alias("key"))
+    probes = nodes.select("node", "code", F.expr(f"explode(flatten(transform(segments, s -> concat(array(s), {ball})))) AS key"))
+    full = cut(table.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "code")).alias("lead")).filter(F.col("n") > dense).select("key", "lead"))
+    crowded = not full.isEmpty()
+    fetch = table.join(full.select("key"), "key", "left_anti") if crowded else table
+    near = f"bit_count(code_a ^ code_b) <= {CODE_BITS} AND a <> b"
+    side = lambda df, s: df.withColumnsRenamed({"node": s, "code": f"code_{s}"})
+    links = side(probes, "a").join(side(fetch, "b"), "key").filter(near).select("a", "b")
+    if crowded:
+        met = probes.join(full, "key")
+        led = met.select(F.col("node").alias("a"), F.col("code").alias("code_a"), F.col("lead.node").alias("b"), F.col("lead.code").alias("code_b"))
+        of_code = cut(met.groupBy(F.col("code").alias("fp")).agg(F.min("node").alias("first")))
+        same = met.join(of_code, F.col("code") == F.col("fp")).select(F.col("first").alias("a"), F.col("node").alias("b"))
+        first = lambda s: of_code.select(F.col("fp").alias(s), F.col("first").alias(f"first_{s}"))
+        tight = fingerprint_links(of_code.select("fp")).join(first("a"), "a").join(first("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+        links = links.unionByName(led.filter(near).select("a", "b")).unionByName(same.filter("a <> b")).unionByName(tight)
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SIMILAR_WORDS, least: float = MIN_SIMILARITY, dense: int = DENSE_BUCKET) -> DataFrame:
+    """(k1, k2): one document of each near-duplicate group, under the numbers that ``packed.keyed`` gives it.
+
+    Texts whose sets of ``width``-word shingles have a Jaccard similarity of ``least`` or
+    more are linked, if some segment of their longer SimHash agrees up to one bit; every
+    link is verified on the shingles themselves. Texts with equal sets, texts without a
+    word among them, are one. Of each connected group the document of smallest id stays,
+    rows without an id last, then that of least text hash. No rows: no rows.
+    """
+    ship(docs.sparkSession)
+    source = packed.keyed(docs, id_col, text_col)
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [distinct_shingles(t.as_py(), width) for t in batch.column("text")]
+            made = [long_fingerprint(x) for x in found]
+            nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
+            columns = [pa.array(nodes), pa.array([c for c, _ in made], pa.int64()), pa.array([x for _, x in made], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "k1", "k2")), *columns], names=["id", "k1", "k2", "node", "code", "segments"])
+
+    rows = source.mapInArrow(lean(prints), "id bigint, k1 bigint, k2 bigint, node bigint, code bigint, segments array<bigint>")
+    lead = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "k2", "k1")).alias("lead")
+    nodes = stored(rows.groupBy("node").agg(lead, F.first("code").alias("code"), F.first("segments").alias("segments")), "nodes")
+    pairs = cut(_segment_links(nodes, dense))
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = cut(wanted.join(nodes, "node").select("node", "lead.k1", "lead.k2"))
+    if wanted.count() * 24 <= BROADCAST_BYTES:
+        wanted = F.broadcast(wanted)
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [distinct_shingles(t.as_py(), width).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "shingles"])
+
+    # Equal rows have equal shingles; one of them is enough.
+    sets = stored(source.join(wanted, ["k1", "k2"]).select("node", "text").mapInArrow(lean(shingles), "node bigint, shingles binary").dropDuplicates(["node"]), "shingles")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= least * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"set_{s}"))
+    linked = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(lean(verify), "a bigint, b bigint")
+    labels = connected_components(cut(linked))
+    grouped = nodes.select("node", "lead").join(labels, "node", "left")
+    return grouped.groupBy(F.coalesce("label", "node").alias("group")).agg(F.min("lead").alias("lead")).select("lead.k1", "lead.k2")
