@@ -11,25 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bilens.llm import bpe, lines, mixing, quality, simhash
+from bilens.llm import bpe, lines, mixing, packed, quality, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: SQL cannot state the tokenisers, edit similarity and hashes; a brute-force version is in the tests.
 ORACLE_SQL = None
 
 
-def _named(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id ``kept`` (kept_id) names, or that have none."""
-    docs = docs.select(COLUMNS)
-    joined = docs.join(kept.hint("shuffle_hash"), docs["doc_id"] == kept["kept_id"], "left")
-    return joined.filter("kept_id IS NOT NULL OR doc_id IS NULL")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep; rows that repeat an id share its worst verdict, rows without an id stay."""
-    verdicts = quality.rules(docs).filter("doc_id IS NOT NULL")
-    kept = verdicts.groupBy(F.col("doc_id").alias("kept_id")).agg(F.min("kept").alias("kept")).filter("kept").drop("kept")
-    return _named(docs, kept).select(COLUMNS)
+    """The documents that the quality rules keep, each row by its own text and language, with an id or without."""
+    kept = quality.rules(docs).filter("kept").select("text_hash1", "text_hash2").distinct()
+    docs = docs.select(COLUMNS)
+    return docs.select("*", *quality.text_hashes("text", "lang")).join(kept, ["text_hash1", "text_hash2"], "left_semi").select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +33,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate component; rows without an id stay."""
-    kept = simhash.near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    # Rows that repeat a kept id are copies of one document; the first text stays.
-    first = Window.partitionBy("doc_id").orderBy("text", "lang", "source")
-    return _named(docs, kept).withColumn("copy", F.row_number().over(first)).filter("copy = 1 OR doc_id IS NULL").select(COLUMNS)
+    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more.
+
+    The document of smallest id stays, rows without an id last; of equal rows, one.
+    """
+    docs = docs.select(COLUMNS)
+    keys = docs.select("*", *packed.row_keys("doc_id", "text"))
+    kept = keys.join(simhash.representatives(docs), ["k1", "k2"], "left_semi")
+    first = Window.partitionBy("k1", "k2").orderBy("lang", "source", "n_chars")
+    return kept.withColumn("copy", F.row_number().over(first)).filter("copy = 1").select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
