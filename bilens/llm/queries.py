@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, lines, mixing, quality, secret_scan, simhash, substring, suffix, urls
+from . import ann, bpe, interactions, lines, mixing, quality, secret_scan, simhash, substring, suffix, urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_documents(spark, sf_dir))
 
 
+def op13_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_urls": op8_urls,
         "op9_neighbours": op9_neighbours,
         "op10_mixing": op10_mixing,
+        "op13_interactions": op13_interactions,
     }
 
 
@@ -75,4 +80,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_substring": substring.REPEATS_SQL,
         "op5_suffix_array": suffix.REPEATS_SQL,
         "op10_mixing": mixing.MIXTURE_SQL,
+        "op13_interactions": interactions.AUDIT_SQL,
     }
