@@ -284,7 +284,7 @@ WITH RECURSIVE v AS (
   SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
 ), s AS (
   SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0
-    AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), l AS (
   SELECT a.r AS a, b.r AS b FROM s a JOIN s b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r
   WHERE list_cosine_similarity(a.e, b.e) >= 0.98
