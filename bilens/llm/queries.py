@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, interactions, lines, mixing, quality, secret_scan, simhash, substring, suffix, urls
+from . import ann, bpe, conversations, interactions, lines, mixing, multi_index, quality, secret_scan, simhash, substring, suffix, urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_documents(spark, sf_dir))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -71,6 +79,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_urls": op8_urls,
         "op9_neighbours": op9_neighbours,
         "op10_mixing": op10_mixing,
+        "op11_conversations": op11_conversations,
+        "op12_multi_index": op12_multi_index,
         "op13_interactions": op13_interactions,
     }
 
@@ -80,5 +90,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_substring": substring.REPEATS_SQL,
         "op5_suffix_array": suffix.REPEATS_SQL,
         "op10_mixing": mixing.MIXTURE_SQL,
+        "op11_conversations": conversations.REPAIR_SQL,
+        "op12_multi_index": multi_index.LINKS_SQL,
         "op13_interactions": interactions.AUDIT_SQL,
     }
