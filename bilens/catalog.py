@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import expr as E
 from .model import LEGACY_ID, Entity, Field, LegacyTable, Phase, Relationship, Source
-from .operators import backfill, changes, check, reconcile
+from .operators import backfill, changes, check, onepass, reconcile
 from .operators.put import as_upsert, put
 from .operators.roundtrip import lost
 from .operators.view import find, modern_view, page, reverse_view
@@ -348,9 +348,10 @@ def backfill_text_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 def view_division(spark: SparkSession, sf: str) -> DataFrame:
     entity = _entity(
-        "shares", ORDERS, [Field("id", "bigint", False), Field("whole", "bigint"), Field("back", "bigint"), Field("exact", "double"), Field("none", "bigint")], M.Key("id", "o_orderkey"),
+        "shares", ORDERS, [Field("id", "bigint", False), Field("whole", "bigint"), Field("back", "bigint"), Field("exact", "double"), Field("none", "bigint"), Field("far", "bigint"), Field("least", "bigint")], M.Key("id", "o_orderkey"),
         M.Map("whole", source=E.call("div", E.ref("o_orderkey"), 7), **READ), M.Map("back", source=E.call("div", E.call("neg", E.ref("o_custkey")), 4), **READ),
         M.Map("exact", source=E.call("div", E.ref("o_totalprice"), 4), **READ), M.Map("none", source=E.call("div", E.ref("o_custkey"), E.call("sub", E.ref("o_custkey"), E.ref("o_custkey"))), **READ),
+        M.Map("far", source=E.call("div", E.call("add", E.ref("o_orderkey"), (1 << 53) + 1), 1), **READ), M.Map("least", source=E.call("div", E.call("sub", E.ref("o_custkey"), (1 << 63) - 1), -1), **READ),
     )
     return modern_view(verify(entity), _load(spark, sf)).drop(LEGACY_ID)
 
@@ -451,6 +452,21 @@ def check_freshness(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, check.SCHEMA)
 
 
+def check_stale(spark: SparkSession, sf: str) -> DataFrame:
+    """The report over a description that names a column the table has lost, and one of another type."""
+    orders = LegacyTable("orders", (*ORDERS.fields[:2], Field("o_orderpriority", "int"), Field("o_clerk", "string")), ("o_orderkey",))
+    entity = _entity("clerks", orders, [Field("id", "bigint", False), Field("clerk", "string")], M.Key("id", "o_orderkey"), M.Map("clerk", source="o_clerk"))
+    report = check.run(spark, entity, parquet(spark, sf))
+    return report.filter("check IN ('freshness', 'nulls', 'unique')").select("check", "subject", "status").withColumn("outcome", F.lit(check.outcome(report)))
+
+
+def check_together(spark: SparkSession, sf: str) -> DataFrame:
+    """All checks of three entities, each table read once for them."""
+    some = [(e, onepass.measured(e, _load(spark, sf))) for e in (NUMBERED_LINES, BAD_CAST, LABELLED, GAPPED)]
+    parts = [df.select(F.lit(e.name).alias("entity"), "*") for e, df in some]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 def obligations_report(spark: SparkSession, sf: str) -> DataFrame:
     rows = [(e.name, f.obligation, f.attribute, f.severity) for e in (NARROW, GAPPED, DEFAULTED, JOINED_WORDS, LIFECYCLE) for f in obligations.check(e)]
     return spark.createDataFrame(rows, "entity string, obligation string, attribute string, severity string")
@@ -520,7 +536,7 @@ def _table() -> dict[str, tuple[_Q, str | None]]:
         UNION ALL SELECT k, 'orders has no such row' FROM x WHERE op IN ('update', 'delete') AND NOT known
         UNION ALL SELECT k, 'orders has such a row already' FROM x WHERE op = 'insert' AND known
         UNION ALL SELECT k, 'orders: more than one change of one row' FROM x WHERE n > 1""")
-    t["view_division"] = (view_division, "SELECT o_orderkey AS id, o_orderkey // 7 AS whole, -(o_custkey // 4) AS back, o_totalprice / 4 AS exact, NULL::BIGINT AS none FROM orders")
+    t["view_division"] = (view_division, "SELECT o_orderkey AS id, o_orderkey // 7 AS whole, -(o_custkey // 4) AS back, o_totalprice / 4 AS exact, NULL::BIGINT AS none, o_orderkey + 9007199254740993 AS far, 9223372036854775807 - o_custkey AS least FROM orders")
     t["reconcile_text_keys"] = (reconcile_text_keys, f"""WITH n AS (SELECT reverse(c_name) || 'é' AS k, c_mktsegment AS v, c_custkey % 101 <> 0 AS there FROM customer),
         p AS (SELECT *, (row_number() OVER (ORDER BY k) - 1) // 100 AS r, {_CELL_SQL.format('k')} || '|' || {_CELL_SQL.format('v')} AS t FROM n)
         SELECT min(k) AS lower, max(k) AS upper, count(*) AS rows, md5(string_agg(t, chr(10) ORDER BY k)) AS legacy_sum, md5(coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (WHERE there), '')) AS view_sum, bool_and(there) AS agrees FROM p GROUP BY r""")
@@ -553,6 +569,16 @@ def _table() -> dict[str, tuple[_Q, str | None]]:
     t["check_casts"] = (lambda spark, sf: check.casts(BAD_CAST, _load(spark, sf)), "SELECT 'code' AS subject, count(*) FILTER (WHERE p_type IS NOT NULL AND TRY_CAST(p_type AS BIGINT) IS NULL) AS measured FROM part UNION ALL SELECT 'price', 0::BIGINT")
     t["check_fanout"] = (lambda spark, sf: check.fan_out(FANNED, _load(spark, sf)), "SELECT (SELECT count(*) FROM customer) AS base_rows, (SELECT count(*) FROM customer LEFT JOIN orders ON o_custkey = c_custkey) AS joined_rows")
     t["check_freshness"] = (check_freshness, "SELECT * FROM (VALUES ('freshness', 'region.r_comment', 'fail', 1::BIGINT, 'no column r_comment'), ('freshness', 'region.r_name', 'warn', 1::BIGINT, 'not declared')) AS v(\"check\", subject, status, measured, detail)")
+    t["check_stale"] = (check_stale, """SELECT *, 'fail' AS outcome FROM (VALUES ('freshness', 'orders.o_clerk', 'fail'), ('freshness', 'orders.o_orderpriority', 'fail'),
+        ('freshness', 'orders.o_orderstatus', 'warn'), ('freshness', 'orders.o_totalprice', 'warn'), ('freshness', 'orders.o_orderdate', 'warn'), ('nulls', 'clerks', 'unrun'), ('unique', 'orders(o_orderkey)', 'unrun')) AS v("check", subject, status)""")
+    t["check_together"] = (check_together, """WITH lines AS (SELECT count(*) AS n FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)),
+        told AS (SELECT count(*) AS n, count(*) FILTER (NOT coalesce(l_returnflag = 'R' OR l_linestatus = 'O', FALSE)) AS none, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'O') AS many FROM lineitem),
+        parts AS (SELECT count(*) AS n, count(*) FILTER (p_type IS NOT NULL AND try_cast(p_type AS BIGINT) IS NULL) AS bad FROM part),
+        docs AS (SELECT count(*) AS n, count(*) FILTER (l.toxic IS NULL) AS toxic, count(*) FILTER (l.quality = -1) AS held FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+        SELECT 'lines' AS entity, v."check", v.subject, v.n::BIGINT AS measured FROM lines, told, LATERAL (VALUES ('identity', 'order_no, line_no', lines.n), ('unique', 'lineitem(l_orderkey, l_linenumber)', lines.n), ('rows', 'lineitem', told.n), ('nulls', 'id', 0), ('nulls', 'order_no', 0), ('nulls', 'line_no', 0)) AS v("check", subject, n)
+        UNION ALL SELECT 'gapped', v."check", v.subject, v.n FROM lines, told, LATERAL (VALUES ('assertion', 'completeness lifecycle', told.none), ('assertion', 'non_overlap lifecycle', told.many), ('unique', 'lineitem(l_orderkey, l_linenumber)', lines.n), ('rows', 'lineitem', told.n), ('nulls', 'id', 0)) AS v("check", subject, n)
+        UNION ALL SELECT 'part_codes', v."check", v.subject, v.n FROM parts, LATERAL (VALUES ('casts', 'code', parts.bad), ('casts', 'price', 0), ('nulls', 'id', 0), ('rows', 'part', parts.n), ('unique', 'part(p_partkey)', 0)) AS v("check", subject, n)
+        UNION ALL SELECT 'labelled_documents', v."check", v.subject, v.n FROM docs, LATERAL (VALUES ('assertion', 'get_put_coalesce quality', docs.held), ('nulls', 'id', 0), ('nulls', 'quality', 0), ('nulls', 'toxic', docs.toxic), ('rows', 'documents', docs.n), ('rows', 'joined', docs.n), ('unique', 'documents(doc_id)', 0), ('unique', 'labels(doc_id)', 0)) AS v("check", subject, n)""")
     t["check_report"] = (lambda spark, sf: check.run(spark, LABELLED, _load(spark, sf)).filter("check IN ('nulls', 'fan_out', 'unique', 'freshness')").select("check", "subject", "status", "measured"), """SELECT * FROM (VALUES
         ('nulls', 'id', 'ok', 0::BIGINT), ('nulls', 'quality', 'ok', 0), ('fan_out', 'labelled_documents', 'ok', 0), ('freshness', 'documents', 'ok', 0), ('freshness', 'labels', 'ok', 0), ('unique', 'documents(doc_id)', 'ok', 0), ('unique', 'labels(doc_id)', 'ok', 0)) AS v("check", subject, status, measured)
         UNION ALL SELECT 'nulls', 'toxic', 'fail', count(*) FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE toxic IS NULL""")

@@ -11,15 +11,18 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..model import DeclarationError, spark_type
+from ..model import DeclarationError, LegacyTable, spark_type, storage_type
 from . import expr as E
 
 
 class Frame:
-    """Where references point, as quoted names: the legacy row, the row being written, or the row before it."""
+    """Where references point, as quoted names: the legacy row, the row being written, or the row before it.
 
-    def __init__(self, lookup: Callable[[E.Ref], str], now: Any = None, old: Callable[[str], str] | None = None, stored: Callable[[str], str] | None = None) -> None:
-        self.name, self._now, self.old, self.stored = lookup, now, old, stored
+    ``types`` says what a reference is declared as, where that is known.
+    """
+
+    def __init__(self, lookup: Callable[[E.Ref], str], now: Any = None, old: Callable[[str], str] | None = None, stored: Callable[[str], str] | None = None, types: Callable[[E.Ref], str] | None = None) -> None:
+        self.name, self._now, self.old, self.stored, self.types = lookup, now, old, stored, types
 
     def column(self, reference: E.Ref) -> Column:
         return F.col(self.name(reference))
@@ -35,7 +38,7 @@ def quoted(*parts: str) -> str:
     return ".".join("`" + p.replace("`", "``") + "`" for p in parts)
 
 
-def bare(names: dict[str, str] | None = None, now: Any = None) -> Frame:
+def bare(names: dict[str, str] | None = None, now: Any = None, types: Callable[[E.Ref], str] | None = None) -> Frame:
     """References are columns of one table, renamed by ``names`` where it has them."""
 
     def lookup(r: E.Ref) -> str:
@@ -43,7 +46,7 @@ def bare(names: dict[str, str] | None = None, now: Any = None) -> Frame:
             raise DeclarationError(f"{'.'.join((*r.path, r.name))} is behind a join, and this frame has one table")
         return quoted((names or {}).get(r.name, r.name))
 
-    return Frame(lookup, now)
+    return Frame(lookup, now, types=types)
 
 
 def alias_of(path: tuple[str, ...]) -> str:
@@ -51,9 +54,9 @@ def alias_of(path: tuple[str, ...]) -> str:
     return "__".join(("legacy", *path))
 
 
-def qualified(now: Any = None) -> Frame:
-    """References are columns of aliased tables, by their path."""
-    return Frame(lambda r: quoted(alias_of(r.path), r.name), now)
+def qualified(now: Any = None, table: LegacyTable | None = None) -> Frame:
+    """References are columns of aliased tables, by their path from ``table``."""
+    return Frame(lambda r: quoted(alias_of(r.path), r.name), now, types=table and (lambda r: table.follow(r.path).field(r.name).type))
 
 
 def literal(value: Any) -> Column:
@@ -91,13 +94,40 @@ _UNARY = {"not": lambda a: ~a, "neg": lambda a: -a, "is_null": lambda a: a.isNul
 
 
 _WHOLE = ("tinyint", "smallint", "int", "bigint")
+_WHOLE_IF_ARGS_ARE = ("add", "sub", "mul", "div", "neg", "abs", "round", "ceil", "floor", "least", "greatest", "coalesce")
 
 
-def _divided(x: Column, y: Column) -> Column:
-    """Of whole numbers the whole quotient, towards zero; null where the divisor is zero."""
-    whole = F.typeof(x).isin(*_WHOLE) & F.typeof(y).isin(*_WHOLE)
-    quotient = F.call_function("div", x.cast("bigint"), F.nullif(y.cast("bigint"), F.lit(0).cast("bigint")))
-    return F.when(whole, quotient).otherwise(F.try_divide(x, y))
+def is_whole(node: E.Expr, frame: Frame) -> bool | None:
+    """Whether a value is a whole number, by what its references are declared as; None where that cannot be told."""
+    match node:
+        case E.Ref():
+            return None if frame.types is None else storage_type(frame.types(node)) == "bigint"
+        case E.Lit(value):
+            return None if value is None else isinstance(value, int) and not isinstance(value, bool)
+        case E.Cast(_, type_):
+            return storage_type(type_) == "bigint"
+        case E.Call("length", _):
+            return True
+        case E.Call(op, args) if op in _WHOLE_IF_ARGS_ARE:
+            kinds = [is_whole(E.expr(a), frame) for a in args]
+            return True if all(kinds) else False if False in kinds and op not in ("ceil", "floor") else None
+    return None
+
+
+def _divided(x: Column, y: Column, whole: bool | None) -> Column:
+    """Of whole numbers the whole quotient, towards zero; null where the divisor is zero, or the quotient is beyond a bigint.
+
+    Where ``whole`` is not known, the values' types decide as the query runs; the result is a
+    double then, which is exact up to 2^53.
+    """
+    if whole is False:
+        return F.try_divide(x, y)
+    x_, y_ = x.cast("bigint"), y.cast("bigint")
+    # The least bigint has no counterpart above zero.
+    quotient = F.when(y_ == -1, F.try_subtract(F.lit(0).cast("bigint"), x_)).otherwise(F.call_function("div", x_, F.nullif(y_, F.lit(0).cast("bigint"))))
+    if whole:
+        return quotient
+    return F.when(F.typeof(x).isin(*_WHOLE) & F.typeof(y).isin(*_WHOLE), quotient).otherwise(F.try_divide(x, y))
 
 
 def compile(node: E.Expr, frame: Frame) -> Column:  # noqa: A001
@@ -117,8 +147,8 @@ def compile(node: E.Expr, frame: Frame) -> Column:  # noqa: A001
         case E.Call("ne", (a, b)):
             return go(a) != go(b)
         case E.Call("div", (a, b)):
-            x, y = go(a), go(b)
-            return _divided(x, y)
+            kinds = [is_whole(E.expr(n), frame) for n in (a, b)]
+            return _divided(go(a), go(b), True if all(kinds) else False if False in kinds else None)
         case E.Call("in", (a, *values)):
             return go(a).isin(*[go(v) for v in values])
         case E.Call("least" | "greatest" as op, args):

@@ -13,7 +13,8 @@ from ..functions.compile import alias_of, compile, qualified, quoted
 from ..model import Entity, LegacyTable, spark_type
 from ..plans import mechanism, obligations
 from ..plans.lens import key_of, lenses
-from ..sources.tables import Load
+from ..sources.tables import Load, StaleDescription, as_stored
+from . import onepass
 from .reconcile import normal_form
 from .view import join_paths, joined_source
 
@@ -32,7 +33,7 @@ def nulls(entity: Entity, load: Load) -> DataFrame:
 
     One pass for all attributes: a wide aggregate, then a row for each.
     """
-    frame, by_name = qualified(), lenses(entity)
+    frame, by_name = qualified(table=entity.source.table), lenses(entity)
     asked = [a.name for a in entity.attributes if not a.nullable and a.name in by_name]
     key = key_of(entity)
     counts = [F.count_if(compile(key.source if a == key.attribute else by_name[a].forward, frame).isNull()).alias(a) for a in asked]
@@ -47,7 +48,7 @@ def duplicates(entity: Entity, load: Load, identity: tuple[str, ...]) -> DataFra
 
     Rows with a null in the identity are left out where nulls are distinct.
     """
-    by_name, frame = lenses(entity), qualified()
+    by_name, frame = lenses(entity), qualified(table=entity.source.table)
     values = [normal_form(entity.attribute(a))(compile(by_name[a].forward, frame)).alias(a) for a in identity]
     df = joined_source(entity, load, [by_name[a] for a in identity]).select(*values)
     if entity.nulls_distinct:
@@ -66,7 +67,7 @@ def casts(entity: Entity, load: Load) -> DataFrame:
     The values are looked at, not only projected: an unused cast would be pruned, and a
     failing one would pass.
     """
-    frame, counts, used = qualified(), [], []
+    frame, counts, used = qualified(table=entity.source.table), [], []
     for name, lens in lenses(entity).items():
         if isinstance(lens.forward, E.Cast) and E.refs(lens.forward):
             before = compile(lens.forward.arg, frame)
@@ -138,13 +139,63 @@ def lenses_without_opt_out(entity: Entity, attribute: str) -> str | None:
     return lens.combinator if lens.writes else None
 
 
-def run(spark: SparkSession, entity: Entity, load: Load, data: bool = True) -> DataFrame:
-    """The whole report. Each check is on its own: one that cannot run says so and stops no other."""
+def _measure(entity: Entity, load: Load, attempt: Callable[[str, str, Callable[[], list[tuple]]], None], together: bool) -> None:
+    """The checks that read data: all by as few reads as ``onepass`` needs, or each by its own where that fails."""
+    by_name = lenses(entity)
+    tables = {t.name: t for t in [entity.source.table, *(entity.source.table.follow(p) for p in join_paths(by_name.values()))]}
+    found: dict[tuple[str, str], int] = {}
+    if together:
+        try:
+            found = {(r["check"], r["subject"]): r["measured"] for r in onepass.measured(entity, load).collect()}
+        except Exception:  # noqa: BLE001 - what stops all together is found out by each on its own
+            found = {}
+
+    def each(check: str, alone: Callable[[Entity, Load], DataFrame]) -> None:
+        rows = [_row(check, s, n, "") for (c, s), n in found.items() if c == check]
+        attempt(check, entity.name, lambda: rows if found else [_row(check, r["subject"], r["measured"], "") for r in alone(entity, load).collect()])
+
+    def groups(check: str, subject: str, alone: Callable[[], DataFrame]) -> None:
+        attempt(check, subject, lambda: [_row(check, subject, found[check, subject] if (check, subject) in found else alone().count(), "duplicate groups")])
+
+    each("nulls", nulls)
+    for identity in entity.identities:
+        groups("identity", ", ".join(identity), lambda identity=identity: duplicates(entity, load, identity))
+    each("casts", casts)
+    for f in obligations.assertions(entity):
+
+        def measure(f: obligations.Finding = f) -> list[tuple]:
+            n = found.get(onepass.assertion_name(f))
+            bad = violations(entity, load, f)
+            n = bad.count() if n is None else n
+            shown = "; ".join(str(tuple(r)) for r in bad.limit(SHOWN).collect()) if n else ""
+            return [_row("assertion", f.attribute, n, f"[{f.obligation}] {f.message} {shown}".strip(), "fail" if f.severity == "error" else "warn")]
+
+        attempt("assertion", f.attribute, measure)
+    if join_paths(by_name.values()):
+
+        def fan() -> list[tuple]:
+            r = fan_out(entity, load).first().asDict() if not found else {"base_rows": found["rows", entity.source.table.name], "joined_rows": found["rows", "joined"]}
+            return [_row("fan_out", entity.name, r["joined_rows"] - r["base_rows"], f"{r['base_rows']} rows, {r['joined_rows']} through joins")]
+
+        attempt("fan_out", entity.name, fan)
+    for t in tables.values():
+        attempt("freshness", t.name, lambda t=t: freshness(t, as_stored(load, t)))
+        for u in (*t.uniques, *([t.primary_key] if t.primary_key else [])):
+            groups("unique", f"{t.name}({', '.join(u)})", lambda t=t, u=u: table_duplicates(load, t, u))
+
+
+def run(spark: SparkSession, entity: Entity, load: Load, data: bool = True, together: bool = True) -> DataFrame:
+    """The whole report. Each check is on its own: one that cannot run says so and stops no other.
+
+    ``together`` measures them by one read of each table where all can run.
+    """
     rows: list[tuple] = declaration(entity)
 
     def attempt(name: str, subject: str, measure: Callable[[], list[tuple]]) -> None:
         try:
             rows.extend(measure())
+        except StaleDescription as e:  # freshness is a finding; what needs the column cannot be measured
+            rows.append((name, subject, "fail" if name == "freshness" else "unrun", None, str(e)))
         except Exception as e:  # noqa: BLE001 - any failure to measure is a result
             rows.append((name, subject, "unrun", None, str(e).splitlines()[0][:200]))
 
@@ -152,32 +203,7 @@ def run(spark: SparkSession, entity: Entity, load: Load, data: bool = True) -> D
         if f.assertion is None or f.severity == "error":
             rows.append(("obligation", f.attribute, "fail" if f.severity == "error" else "warn", None, f"[{f.obligation}] {f.message}"))
     if data:
-        tables = {t.name: t for t in [entity.source.table, *(entity.source.table.follow(p) for p in join_paths(lenses(entity).values()))]}
-        attempt("nulls", entity.name, lambda: [_row("nulls", r["subject"], r["measured"], "") for r in nulls(entity, load).collect()])
-        for identity in entity.identities:
-            name = ", ".join(identity)
-            attempt("identity", name, lambda identity=identity, name=name: [_row("identity", name, duplicates(entity, load, identity).count(), "duplicate groups")])
-        attempt("casts", entity.name, lambda: [_row("casts", r["subject"], r["measured"], "") for r in casts(entity, load).collect()])
-        for f in obligations.assertions(entity):
-
-            def measure(f: obligations.Finding = f) -> list[tuple]:
-                bad = violations(entity, load, f)
-                n = bad.count()
-                shown = "; ".join(str(tuple(r)) for r in bad.limit(SHOWN).collect()) if n else ""
-                return [_row("assertion", f.attribute, n, f"[{f.obligation}] {f.message} {shown}".strip(), "fail" if f.severity == "error" else "warn")]
-
-            attempt("assertion", f.attribute, measure)
-        if join_paths(lenses(entity).values()):
-
-            def fan() -> list[tuple]:
-                r = fan_out(entity, load).first()
-                return [_row("fan_out", entity.name, r["joined_rows"] - r["base_rows"], f"{r['base_rows']} rows, {r['joined_rows']} through joins")]
-
-            attempt("fan_out", entity.name, fan)
-        for t in tables.values():
-            attempt("freshness", t.name, lambda t=t: freshness(t, load(t).select(*[F.col(quoted(f.name)).alias(f.physical) for f in t.fields])))
-            for u in (*t.uniques, *([t.primary_key] if t.primary_key else [])):
-                attempt("unique", f"{t.name}({', '.join(u)})", lambda t=t, u=u: [_row("unique", f"{t.name}({', '.join(u)})", table_duplicates(load, t, u).count(), "duplicate groups")])
+        _measure(entity, load, attempt, together)
     return spark.createDataFrame(rows, SCHEMA)
 
 

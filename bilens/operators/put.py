@@ -109,8 +109,9 @@ def put(entity: Entity, load: Load, changes: DataFrame, now: Any = None, validat
     full = full.filter(F.size("problems") == 0).drop("problems")
     targets = {c: w for c, w in write_targets(entity, by_name).items() if c != key}
     new_name = lambda r: quoted("new", r.name)
-    inserting = Frame(new_name, now)
-    updating = Frame(new_name, now, old=lambda a: quoted("old", a), stored=lambda c: quoted("old", STORED + c))
+    types = lambda r: entity.attribute(r.name).type
+    inserting = Frame(new_name, now, types=types)
+    updating = Frame(new_name, now, old=lambda a: quoted("old", a), stored=lambda c: quoted("old", STORED + c), types=types)
     same = lambda a: F.col(quoted("new", a)).eqNullSafe(F.col(quoted("old", a)))
     writes, inserts = [], []
     for f in table.fields:

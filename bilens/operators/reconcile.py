@@ -64,7 +64,7 @@ def plan(entity: Entity, load: Load, modern: DataFrame, normalizers: dict[str, s
             raise DeclarationError(f"unknown normalizer {n!r}; there are {', '.join(NORMALIZERS)}, or give a function of a column")
         named[name] = NORMALIZERS[n] if isinstance(n, str) else n
     compared = [x for x in lenses(entity).values() if x.kind != "structural" and (only is None or x.attribute in only)]
-    frame = qualified()
+    frame = qualified(table=entity.source.table)
     normal = lambda a: named.get(a, normal_form(entity.attribute(a)))
     legacy = joined_source(entity, load, compared).select(
         compile(key_of(entity).source, frame).alias(LEGACY_ID), *[normal(x.attribute)(attribute_column(entity, x, frame)).alias(x.attribute) for x in compared]

@@ -16,7 +16,7 @@ def lost(entity: Entity, load: Load, now=None) -> DataFrame:
     """(__legacy_id, column, stored, written): put(get(row)) against the row, over what is really stored."""
     view = modern_view(entity, load, now=now, stored=True)
     targets = write_targets(entity, lenses(entity))
-    frame = Frame(lambda r: quoted(r.name), now, old=lambda a: quoted(a), stored=lambda c: quoted(STORED + c))
+    frame = Frame(lambda r: quoted(r.name), now, old=lambda a: quoted(a), stored=lambda c: quoted(STORED + c), types=lambda r: entity.attribute(r.name).type)
     cells = []
     for column, (_, value) in targets.items():
         kind = spark_type(entity.source.table.field(column).type)

@@ -76,7 +76,7 @@ def modern_view(entity: Entity, load: Load, columns: Iterable[str] | None = None
     unknown = [c for c in wanted if c not in by_name and c != LEGACY_ID]
     if unknown:
         raise DeclarationError(f"{entity.name} has no mapped attribute {', '.join(unknown)}")
-    frame = qualified(now)
+    frame = qualified(now, entity.source.table)
     chosen = [by_name[c] for c in wanted if c != LEGACY_ID]
     key = key_of(entity)
     first = [c for c in wanted if c == key.attribute]
@@ -127,7 +127,7 @@ def reverse_view(entity: Entity, modern: DataFrame, legacy_id: str = "legacy_id"
     if join_paths(lenses(entity).values()):
         raise DeclarationError(f"{entity.name} cannot be read back: it joins other tables")
     key = E.simple_reference(key_of(entity).source).name
-    frame = bare(now=now)
+    frame = bare(now=now, types=lambda r: entity.attribute(r.name).type)
     out = [F.col(quoted(legacy_id)).cast(spark_type(table.field(key).type)).alias(table.field(key).physical)]
     for column, (_, value) in write_targets(entity).items():
         if column != key:

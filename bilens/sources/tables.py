@@ -13,33 +13,53 @@ from ..model import DeclarationError, Field, LegacyTable, Relationship
 Load = Callable[[LegacyTable], DataFrame]
 
 
+class StaleDescription(DeclarationError):
+    """The table no longer has what its description names."""
+
+
 def named(df: DataFrame, table: LegacyTable) -> DataFrame:
     """Only the declared columns, by their declared names: a projection that reaches the scan."""
     missing = [f.physical for f in table.fields if f.physical not in df.columns]
     if missing:
-        raise DeclarationError(f"{table.name} has no column {', '.join(missing)}; its description is stale")
+        raise StaleDescription(f"{table.name} has no column {', '.join(missing)}; its description is stale")
     return df.select(*[F.col(f"`{f.physical}`").alias(f.name) for f in table.fields])
 
 
+def loading(raw: Load) -> Load:
+    """A load of declared columns; ``raw`` stays at hand, for what a table really has."""
+
+    def load(table: LegacyTable) -> DataFrame:
+        return named(raw(table), table)
+
+    load.raw = raw
+    return load
+
+
+def as_stored(load: Load, table: LegacyTable) -> DataFrame:
+    """The table with the columns that it has, declared or not, where ``load`` knows them."""
+    raw = getattr(load, "raw", None)
+    return raw(table) if raw else load(table).select(*[F.col(f"`{f.name}`").alias(f.physical) for f in table.fields])
+
+
 def parquet(spark: SparkSession, folder: str, suffix: str = ".parquet") -> Load:
     """Tables as Parquet under a folder."""
-    return lambda table: named(spark.read.parquet(f"{folder}/{table.name}{suffix}"), table)
+    return loading(lambda table: spark.read.parquet(f"{folder}/{table.name}{suffix}"))
 
 
 def frames(**by_name: DataFrame) -> Load:
     """Tables as given DataFrames, by relation name."""
 
-    def load(table: LegacyTable) -> DataFrame:
+    def raw(table: LegacyTable) -> DataFrame:
         if table.name not in by_name:
             raise DeclarationError(f"no DataFrame was given for {table.name}")
-        return named(by_name[table.name], table)
+        return by_name[table.name]
 
-    return load
+    return loading(raw)
 
 
 def catalog(spark: SparkSession) -> Load:
     """Tables and views of the session's catalog."""
-    return lambda table: named(spark.table(table.name), table)
+    return loading(lambda table: spark.table(table.name))
 
 
 def replacing(load: Load, table: LegacyTable, df: DataFrame) -> Load:
