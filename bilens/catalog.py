@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from .functions import expr as E
 from .model import LEGACY_ID, Entity, Field, LegacyTable, Phase, Relationship, Source
 from .operators import backfill, changes, check, onepass, reconcile
-from .operators.put import as_upsert, put
+from .operators.keyindex import KeyIndex
+from .operators.put import as_upsert, put, put_files
 from .operators.roundtrip import lost
 from .operators.view import find, modern_view, page, reverse_view
 from .plans import lineage, mechanism, obligations
 from .plans import mappings as M
 from .plans.verify import refusals, verify
+from .sources.files import FileTable
 from .sources.staging import shared_dir
 from .sources.tables import parquet, replacing
 
@@ -279,6 +281,31 @@ def put_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return done.legacy.select("c_name", "c_nationkey", "c_mktsegment")
 
 
+def _order_files(spark: SparkSession, sf: str, files: int = 16) -> FileTable:
+    """Orders kept as files, as their own version 0."""
+    return FileTable.create(_load(spark, sf)(ORDERS), f"{shared_dir(spark)}/orders-{uuid.uuid4().hex}", ORDERS, files)
+
+
+def put_files_(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes in two corners of the table: the next version, of old files and rewritten ones."""
+    kept = _order_files(spark, sf)
+    edits = _edits(spark, sf, "update", "__legacy_id % 7 = 0 AND __legacy_id <= 300", priority=F.lit("5-LOW")).drop("urgent")
+    edits = edits.unionByName(_edits(spark, sf, "delete", "__legacy_id % 7 = 1 AND __legacy_id <= 200").drop("urgent"))
+    edits = edits.unionByName(_edits(spark, sf, "insert", "__legacy_id % 300 = 5", __legacy_id=F.col("__legacy_id") + 1_000_000_000).drop("urgent"))
+    put_files(EDIT_ORDERS, kept, _load(spark, sf), edits)
+    return kept.read().select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+
+
+def find_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    """Three orders by their derived keys, one of them written after the index was made, and a key that nobody has."""
+    kept, load = _order_files(spark, sf), _load(spark, sf)
+    index = KeyIndex(MODERN_ORDERS, kept, load)
+    index.refresh()
+    put_files(EDIT_ORDERS, kept, load, _edits(spark, sf, "insert", "__legacy_id = 8", __legacy_id=F.col("__legacy_id") + 1_000_000_000).drop("urgent"))
+    index.refresh()
+    return index.find([str(uuid.uuid5(uuid.UUID(NAMESPACE), f"orders:{i}")) for i in (7, 777, 1_000_000_008, -1)])
+
+
 def put_touch(spark: SparkSession, sf: str) -> DataFrame:
     load = _load(spark, sf)
     edits = modern_view(TOUCHED, load).filter("__legacy_id % 4 = 0").withColumns({"op": F.lit("update"), "urgency": F.lit("rush")})
@@ -546,6 +573,11 @@ def _table() -> dict[str, tuple[_Q, str | None]]:
     t["lineage_masked"] = (lineage_masked, "SELECT * FROM (VALUES ('shouted_orders', 'o_orderkey', 'id', FALSE), ('shouted_orders', 'o_orderpriority', 'status', TRUE), ('edit_orders', 'o_orderkey', 'id', FALSE), ('edit_orders', 'o_orderstatus', 'status_code', FALSE), ('edit_orders', 'o_totalprice', 'total', FALSE), ('edit_orders', 'o_orderpriority', 'priority', FALSE), ('edit_orders', 'o_orderpriority', 'urgent', TRUE)) AS v(entity, from_column, to_attribute, masking)")
     t["put_upsert"] = (put_upsert, """SELECT c_name, c_nationkey, CASE WHEN c_custkey % 20 = 0 THEN 'UPSERTED' ELSE c_mktsegment END AS c_mktsegment FROM customer
         UNION ALL SELECT c_name || ' II', c_nationkey, 'UPSERTED' FROM customer WHERE c_custkey % 20 = 10""")
+    t["put_files"] = (put_files_, """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CASE WHEN o_orderkey % 7 = 0 AND o_orderkey <= 300 THEN '5-LOW' ELSE o_orderpriority END AS o_orderpriority
+        FROM orders WHERE NOT (o_orderkey % 7 = 1 AND o_orderkey <= 200)
+        UNION ALL SELECT o_orderkey + 1000000000, NULL, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 300 = 5""")
+    t["find_by_key"] = (find_by_key, f"""{MODERN_SQL} WHERE o_orderkey IN (7, 777)
+        UNION ALL {MODERN_SQL.replace('FROM orders', '').replace('o_orderkey', '(o_orderkey + 1000000000)').replace('o_orderdate', 'NULL')} FROM orders WHERE o_orderkey = 8""")
     t["put_touch"] = (put_touch, f"""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN '1-URGENT' ELSE o_orderpriority END AS o_orderpriority,
         CASE WHEN o_orderkey % 4 = 0 AND o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN TIMESTAMP '{NOW}' ELSE o_orderdate END AS o_orderdate FROM orders""")
     none = "SELECT '' AS \"column\", 0::BIGINT AS n_lost WHERE FALSE"

@@ -13,7 +13,8 @@ from ..functions.compile import Frame, compile, literal, quoted
 from ..model import LEGACY_ID, DeclarationError, Entity, Phase, spark_type
 from ..plans.lens import key_of, lenses
 from ..sources.staging import pinned
-from ..sources.tables import Load, replacing
+from ..sources.files import FileTable
+from ..sources.tables import Load, named, replacing
 from .view import STORED, modern_view, write_targets
 
 OP = "op"
@@ -65,7 +66,7 @@ def _problems(entity: Entity, by_name) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def put(entity: Entity, load: Load, changes: DataFrame, now: Any = None, validate: bool = True) -> PutResult:
+def put(entity: Entity, load: Load, changes: DataFrame, now: Any = None, validate: bool = True, top: int | None = None) -> PutResult:
     """Carry out ``changes`` (op, __legacy_id, attributes) on the legacy table.
 
     op is insert, update or delete. Attributes that ``changes`` lacks keep their value on
@@ -75,7 +76,8 @@ def put(entity: Entity, load: Load, changes: DataFrame, now: Any = None, validat
     table's key holds: an insert of an id that exists and several changes of one id are
     refused, all of them, as an unknown row or operation is. With ``validate`` the guards
     run first and refuse the whole set; else ``refused`` has what they would say, and
-    those changes are left out.
+    those changes are left out. ``top`` is the table's greatest id, for those who load
+    only the part of it that the changes name.
     """
     if entity.phase not in (Phase.DUAL_WRITE, Phase.READ_FROM_LEGACY) or entity.source.writes == "none":
         raise DeclarationError(f"{entity.name} does not write to its legacy table in phase {entity.phase.value}")
@@ -134,7 +136,7 @@ def put(entity: Entity, load: Load, changes: DataFrame, now: Any = None, validat
     if added.filter(F.col(LEGACY_ID).isNull()).isEmpty():
         ids = added.withColumn("number", F.col(LEGACY_ID))
     else:
-        top = legacy.agg(F.coalesce(F.max(key), F.lit(0)).alias("top")).first()["top"]
+        top = legacy.agg(F.coalesce(F.max(key), F.lit(0)).alias("top")).first()["top"] if top is None else top
         given_id, wanted = F.col(LEGACY_ID), added.filter(F.col(LEGACY_ID).isNull()).count()
         # Given ids in the way of the next free ones: go on above all of them.
         taken = added.agg(F.max(given_id).alias("most"), F.count_if((given_id > top) & (given_id <= top + wanted)).alias("n")).first()
@@ -154,6 +156,36 @@ def put(entity: Entity, load: Load, changes: DataFrame, now: Any = None, validat
     return PutResult(after, returned, events, refused, touched.select(F.col("change_id").alias("legacy_id"), "op", "n_changed"))
 
 
+@dataclass
+class FilesPut:
+    """The version that holds the changes, the files that were rewritten for it, and what ``put`` says of the part in them."""
+
+    version: int
+    rewritten: list[str]
+    result: PutResult
+
+
+def put_files(entity: Entity, files: FileTable, load: Load, changes: DataFrame, now: Any = None, validate: bool = True, version: int | None = None) -> FilesPut:
+    """``put`` on a table kept in files: the files that hold a changed id are read and rewritten, no others.
+
+    Ids that no file holds are unknown to the table, so the part in those files decides what
+    is refused as the whole table would. ``load`` gives the tables that are joined. Of two
+    writers that start from one version, the second is refused with ``VersionTaken``.
+    """
+    table = entity.source.table
+    paths = {r.path[: k + 1] for lens in lenses(entity).values() for r in lens.sources for k in range(len(r.path))}
+    if any(table.follow(p).name == table.name for p in paths):
+        raise DeclarationError(f"{entity.name} joins {table.name} to itself, so all of it is needed: use put")
+    base = files.latest() if version is None else version
+    ids = changes.filter(F.col(LEGACY_ID).isNotNull()).select(F.col(LEGACY_ID).alias("id")).distinct()
+    rewritten = files.touched(ids, base)
+    part = named(files.read_files(rewritten), table)
+    greatest = files.manifest(base).agg(F.max("high")).first()[0]
+    result = put(entity, replacing(load, table, part), changes, now, validate, top=greatest if isinstance(greatest, int) else None)
+    stored = result.legacy.select(*[F.col(quoted(f.name)).alias(f.physical) for f in table.fields])
+    return FilesPut(files.replace(base, rewritten, stored), rewritten, result)
+
+
 def as_upsert(entity: Entity, load: Load, rows: DataFrame, identity: tuple[str, ...]) -> DataFrame:
     """Changes that update the rows whose identity exists and insert the others.
 
