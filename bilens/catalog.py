@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import expr as E
 from .model import LEGACY_ID, Entity, Field, LegacyTable, Phase, Relationship, Source
-from .operators import backfill, changes, check, onepass, reconcile
+from .operators import backfill, changes, check, drilldown, onepass, reconcile
 from .operators.keyindex import KeyIndex
 from .operators.put import as_upsert, put, put_files
 from .operators.roundtrip import lost
@@ -348,6 +348,14 @@ def reconcile_clean(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.checksums(pair).groupBy("agrees").agg(F.count(F.lit(1)).alias("ranges"), F.sum("rows").alias("rows"))
 
 
+def reconcile_drilldown(spark: SparkSession, sf: str) -> DataFrame:
+    """What differs, found from the top of two trees of sums, of which one is kept between."""
+    pair, name = _pair(spark, sf), uuid.uuid4().hex
+    drilldown.tree(pair.legacy, pair.columns, 64, folder=drilldown.kept_in(spark, name))
+    trees = drilldown.opened(spark, drilldown.kept_in(spark, name)), drilldown.tree(pair.modern, pair.columns, 64)
+    return drilldown.drilldown(pair, 64, trees).mismatched
+
+
 def reconcile_pages(spark: SparkSession, sf: str) -> DataFrame:
     load = _load(spark, sf)
     pair = reconcile.given(load(CUSTOMER), load(CUSTOMER).filter("c_custkey % 101 <> 0"), "c_custkey", {"name": (F.upper("c_name"), F.upper("c_name"))})
@@ -629,6 +637,7 @@ def _table() -> dict[str, tuple[_Q, str | None]]:
         SELECT lower, upper, rows, legacy_sum, view_sum, legacy_sum = view_sum AS agrees FROM g""")
     t["reconcile_mismatched"] = (lambda spark, sf: reconcile.mismatched(_pair(spark, sf)), _BOTH_SQL + """ SELECT l.k AS __legacy_id, CASE WHEN m.k IS NULL THEN '*' ELSE 'priority' END AS "column",
         CASE WHEN m.k IS NULL THEN 'present' ELSE l.priority END AS legacy, CASE WHEN m.k IS NULL THEN 'missing' ELSE m.priority END AS view FROM l LEFT JOIN m ON m.k = l.k WHERE m.k IS NULL OR m.priority <> l.priority""")
+    t["reconcile_drilldown"] = (reconcile_drilldown, t["reconcile_mismatched"][1])
     t["reconcile_pages"] = (reconcile_pages, f"""WITH n AS (SELECT c_custkey AS k, upper(c_name) AS v, c_custkey % 101 <> 0 AS there, (row_number() OVER (ORDER BY c_custkey) - 1) // 100 AS r FROM customer),
         x AS (SELECT *, {_CELL_SQL.format('k')} || '|' || {_CELL_SQL.format('v')} AS t FROM n), g AS (SELECT r, min(k) AS lower, max(k) AS upper, count(*) AS rows, md5(string_agg(t, chr(10) ORDER BY k)) AS legacy_sum,
         md5(coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (WHERE there), '')) AS view_sum FROM x GROUP BY r) SELECT lower, upper, rows, legacy_sum, view_sum, legacy_sum = view_sum AS agrees FROM g""")
