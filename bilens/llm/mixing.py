@@ -53,19 +53,20 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """(doc_id, size, source_size, target, copies, row): how often the mix takes each row of ``docs``, and the row.
 
     Rate = target / source_size. A document is taken floor(rate) times, and once more
-    if the hash of its seed and id, as a number in [0, 1), is below the fraction; so
-    reruns agree, and repeated rows with one id fare alike. Null texts have size 0,
-    null ids hash as the word ``null``, null sources are one source; in a source of
+    if the hash of its seed, id and text, as a number in [0, 1), is below the fraction; so
+    reruns agree, and rows with one id, or none, are drawn each by their text; only rows
+    that repeat an id and a text fare alike. Null texts have size 0, null ids and texts
+    hash as the word ``null``, null sources are one source; in a source of
     size 0 no row is taken. ``row`` holds all columns of the input, whatever their names.
     No rows: no rows.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), whole.alias("row"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.coalesce(F.md5(text_col), F.lit("null")).alias("digest"), whole.alias("row"))
     plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most).withColumnRenamed("source", "mix_source")
     joined = sized.join(plan, sized["source"].eqNullSafe(plan["mix_source"]))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("digest")))
     draw = F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
     extra = F.when(draw < rate - F.floor(rate), F.lit(1)).otherwise(F.lit(0))
     return joined.select("doc_id", "size", "source_size", "target", F.least(F.floor(rate) + extra, F.lit(most)).cast("bigint").alias("copies"), "row")
@@ -84,7 +85,8 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
 
 MIXTURE_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         coalesce(md5(text), 'null') AS digest FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), w AS (
@@ -104,7 +106,7 @@ WITH sized AS (
          ELSE ((total - cap_sum) * weight)::DOUBLE / open_weight::DOUBLE END AS target FROM t
 ), r AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-         ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS draw
+         ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, 'null') || ':' || digest), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS draw
   FROM sized JOIN plan ON sized.source IS NOT DISTINCT FROM plan.source
 )
 SELECT doc_id, size, source_size, target,

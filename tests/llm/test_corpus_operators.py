@@ -816,3 +816,13 @@ def test_taken_words_come_near_their_targets(spark):
     got = mixing.mixture(spark.createDataFrame(rows, DOCS)).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
     # A thousand draws a source: within about four of their standard deviations.
     assert len(got) == 4 and all(r["taken"] == pytest.approx(r["target"], rel=0.2) for r in got)
+
+
+@pytest.mark.parametrize("ids", ["each", "a third without", "all without", "one for all"])
+def test_rows_without_an_id_are_drawn_one_by_one(spark, ids):
+    """However ids are missing or repeated, a source's words come as near its target."""
+    rng = random.Random(11)
+    pick = {"each": lambda i: i, "a third without": lambda i: None if i % 3 == 0 else i, "all without": lambda i: None, "one for all": lambda i: 7}[ids]
+    rows = [(pick(i), f"t{i} " + " ".join(["w"] * rng.randint(20, 60)), "en", f"s{i % 5}", 0) for i in range(4000)]
+    got = mixing.mixture(spark.createDataFrame(rows, DOCS)).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(got) == 5 and all(abs(r["taken"] - r["target"]) <= 0.06 * r["target"] for r in got)
