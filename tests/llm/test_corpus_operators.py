@@ -812,7 +812,7 @@ def test_targets_reach_their_level(spark, sizes):
 
 def test_taken_words_come_near_their_targets(spark):
     rng = random.Random(4)
-    rows = [(i, "w " * rng.randint(20, 60), "en", f"s{i % 4}", 1) for i in range(4000)]
+    rows = [(i, "w " * rng.randint(20, 60), "en", f"s{i % 4}", 1) for i in range(20_000)]
     got = mixing.mixture(spark.createDataFrame(rows, DOCS)).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
     # A thousand draws a source: within about four of their standard deviations.
     assert len(got) == 4 and all(r["taken"] == pytest.approx(r["target"], rel=0.2) for r in got)
@@ -823,6 +823,36 @@ def test_rows_without_an_id_are_drawn_one_by_one(spark, ids):
     """However ids are missing or repeated, a source's words come as near its target."""
     rng = random.Random(11)
     pick = {"each": lambda i: i, "a third without": lambda i: None if i % 3 == 0 else i, "all without": lambda i: None, "one for all": lambda i: 7}[ids]
-    rows = [(pick(i), f"t{i} " + " ".join(["w"] * rng.randint(20, 60)), "en", f"s{i % 5}", 0) for i in range(4000)]
+    rows = [(pick(i), f"t{i} " + " ".join(["w"] * rng.randint(20, 60)), "en", f"s{i % 5}", 0) for i in range(20_000)]
     got = mixing.mixture(spark.createDataFrame(rows, DOCS)).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
     assert len(got) == 5 and all(abs(r["taken"] - r["target"]) <= 0.06 * r["target"] for r in got)
+
+
+@pytest.mark.parametrize("pairs, block", [(1 << 12, 1024), (300, 1024), (300, 40)])
+def test_crowded_segments_of_short_lines(spark, monkeypatch, pairs, block):
+    """Lines of one site's addresses, a few of them alike: the groups are those of all pairs, however many share a segment."""
+    monkeypatch.setattr(lines, "SHORT_PAIRS", pairs)
+    monkeypatch.setattr(lines, "SHORT_BLOCK", block)
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = [f"httpswww example org {letters(30)}" for _ in range(120)] + [letters(rng.randint(1, 70)) for _ in range(30)]
+    for i in range(40):
+        t = list(texts[i])
+        for _ in range(rng.randint(1, 12)):
+            t[rng.randrange(21, len(t))] = rng.choice("abc")
+        texts.append("".join(t))
+    texts = sorted(set(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "form bigint, short string")
+    want = brute_components(range(len(texts)), lambda a, b: lines.similarity(texts[a], texts[b]) >= 0.8)
+    linked = lines.short_links(df, 0.8)
+    assert all(lines.similarity(texts[r["a"]], texts[r["b"]]) >= 0.8 for r in linked.collect())
+    got = {r["node"]: r["label"] for r in connected_components(linked).collect()}
+    assert {i: got.get(i, i) for i in want} == want and len(set(want.values())) < len(want)
+
+
+def test_many_addresses_of_one_site_take_no_pairs(spark):
+    """2,000 unlike lines that share half their segments with all others: no link, and no pair of them is a row."""
+    rng = random.Random(9)
+    rows = [(i, "httpswww example org " + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30))) for i in range(2000)]
+    linked = lines.short_links(spark.createDataFrame(rows, "form bigint, short string"), 0.8)
+    assert linked.count() == 0
