@@ -369,6 +369,15 @@ def reconcile_text_keys(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.checksums(pair, 100, ordered=True)
 
 
+def backfill_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders kept in files, filled in steps of three files: a first run stops after one step, a second goes on."""
+    kept = _order_files(spark, sf, 8)
+    fill = backfill.plan(MODERN_ORDERS, "public_id", {"o_totalprice": F.col("o_totalprice") + 1})
+    backfill.run_files(kept, fill, 3, max_steps=1)
+    backfill.run_files(kept, fill, 3)
+    return kept.read().select("o_orderkey", "public_id", "o_totalprice", "needs_backfill")
+
+
 def backfill_text_keys(spark: SparkSession, sf: str) -> DataFrame:
     """A table under a text key, filled in two runs: the first stops after three batches of 100."""
     table = LegacyTable("names", (Field("name", "string", False), Field("code", "string")), ("name",))
@@ -575,6 +584,7 @@ def _table() -> dict[str, tuple[_Q, str | None]]:
     t["reconcile_text_keys"] = (reconcile_text_keys, f"""WITH n AS (SELECT reverse(c_name) || 'é' AS k, c_mktsegment AS v, c_custkey % 101 <> 0 AS there FROM customer),
         p AS (SELECT *, (row_number() OVER (ORDER BY k) - 1) // 100 AS r, {_CELL_SQL.format('k')} || '|' || {_CELL_SQL.format('v')} AS t FROM n)
         SELECT min(k) AS lower, max(k) AS upper, count(*) AS rows, md5(string_agg(t, chr(10) ORDER BY k)) AS legacy_sum, md5(coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (WHERE there), '')) AS view_sum, bool_and(there) AS agrees FROM p GROUP BY r""")
+    t["backfill_files"] = (backfill_files, f"SELECT o_orderkey, {uuid5_sql('orders', 'o_orderkey')} AS public_id, o_totalprice + 1 AS o_totalprice, FALSE AS needs_backfill FROM orders")
     t["backfill_text_keys"] = (backfill_text_keys, """WITH n AS (SELECT reverse(c_name) AS k, row_number() OVER (ORDER BY reverse(c_name)) AS i FROM customer)
         SELECT 'first' AS run, i > 300 AS needs_backfill, count(*) FILTER (WHERE i <= 300) AS n_filled, max(k) AS top FROM n GROUP BY i > 300
         UNION ALL SELECT 'second', FALSE, count(*), max(k) FROM n""")

@@ -14,6 +14,7 @@ from ..functions import expr as E
 from ..functions.compile import Frame
 from ..model import IDENTIFIER, DeclarationError, Entity, spark_type
 from ..plans.lens import key_of, lenses
+from ..sources.files import FileTable, VersionTaken
 from ..sources.staging import pinned
 from .put import numbered
 from .view import key_column
@@ -156,3 +157,71 @@ def run(df: DataFrame, fill: Plan, batch_size: int = BATCH_SIZE, max_batches: in
         if max_batches is not None and batches >= max_batches:
             break
     return Result(df, rows, batches, passes, total, left == 0)
+
+
+@dataclass
+class FilesResult:
+    """What a run over files did: steps committed, rows filled, and files still to fill."""
+
+    version: int
+    steps: int
+    rows: int
+    left: int
+
+    @property
+    def complete(self) -> bool:
+        return self.left == 0
+
+
+def pending_files(files: FileTable, fill: Plan) -> list[str]:
+    """The files with rows still to fill, lowest keys first; of files, only the flag is read.
+
+    A file written before the table had the flag has it null: nothing of it is filled.
+    """
+    manifest = files.manifest()
+    if fill.flag in files.schema().fieldNames():
+        flag = F.col(quoted(fill.flag))
+        paths = [r["path"] for r in manifest.select("path").collect()]
+        open_ = files.read_files(paths).filter(flag.isNull() | flag).select(F.col("_metadata.file_path").alias("path")).distinct() if paths else manifest.select("path")
+        manifest = manifest.join(open_, "path", "left_semi")
+    return [r["path"] for r in manifest.orderBy("low").select("path").collect()]
+
+
+def run_files(files: FileTable, fill: Plan, step: int = 64, max_steps: int | None = None, progress: Callable[[int, int], None] | None = None) -> FilesResult:
+    """Fill a table kept in files, ``step`` files at a time, each step a version of its own.
+
+    A step is there whole or not at all, so a run that is lost goes on where it stopped: the
+    next one asks which files are open. Files are ranges of keys, so steps go up the key.
+    Writers may commit between steps: a step that finds its version taken is done again on
+    theirs. A step whose files are still the first ones open afterwards is not tried for
+    ever: after a few the run ends with an error.
+    """
+    if step < 1 or max_steps is not None and max_steps < 1:
+        raise DeclarationError("step and max_steps are at least 1")
+    steps = rows = idle = 0
+    start = None
+    open_ = pending_files(files, fill)
+    total = len(open_)
+    while open_ and (max_steps is None or steps < max_steps):
+        base, some = files.latest(), open_[:step]
+        manifest = files.manifest(base)
+        held = [r["path"] for r in manifest.filter(F.col("path").isin(some)).select("path").collect()]
+        if len(held) == len(some):
+            before = files.read_files(some)
+            flagged = before.withColumn(fill.flag, F.coalesce(F.col(quoted(fill.flag)), F.lit(True)) if fill.flag in before.columns else F.lit(True))
+            after = apply(flagged, fill)
+            try:
+                files.replace(base, some, after, after.schema)
+            except VersionTaken:
+                held = []
+        if len(held) == len(some):  # else somebody else has changed the table: look again
+            low = manifest.filter(F.col("path").isin(some)).agg(F.min("low"), F.sum("n_rows")).first()
+            steps, rows = steps + 1, rows + (low[1] or 0)
+            # The same keys come first again: something flags them as fast as they are filled.
+            idle, start = (idle + 1, start) if low[0] == start else (0, low[0])
+            if idle >= EMPTY_PASSES:
+                raise RuntimeError(f"{fill.relation}: rows from key {start} on stay flagged after {idle + 1} steps")
+        open_ = pending_files(files, fill)
+        if progress:
+            progress(total - len(open_), total)
+    return FilesResult(files.latest(), steps, rows, len(open_))

@@ -170,7 +170,9 @@ def put_files(entity: Entity, files: FileTable, load: Load, changes: DataFrame,
 
     Ids that no file holds are unknown to the table, so the part in those files decides what
     is refused as the whole table would. ``load`` gives the tables that are joined. Of two
-    writers that start from one version, the second is refused with ``VersionTaken``.
+    writers that start from one version, the second is refused with ``VersionTaken``. Columns
+    that the description does not declare are null in rewritten rows, as they are no part of
+    ``put``; a backfill finds such rows open and fills them again.
     """
     table = entity.source.table
     paths = {r.path[: k + 1] for lens in lenses(entity).values() for r in lens.sources for k in range(len(r.path))}

@@ -93,7 +93,10 @@ class FileTable:
         return self.spark.read.schema(df.schema).parquet(place).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n_rows"), F.min(key).alias("low"), F.max(key).alias("high"))
 
     def read_files(self, paths: list[str]) -> DataFrame:
-        """The rows of some files, by physical names. Paths are as many as a scan's own list of files."""
+        """The rows of some files, by physical names. Paths are as many as a scan's own list of files.
+
+        Columns that the table got after a file was written are null in it.
+        """
         schema = self.schema()
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
@@ -128,9 +131,12 @@ class FileTable:
         held = self.read_files(some).select(F.col(f"`{self.key}`").alias("id"), *([F.col("_metadata.file_path").alias("path")] if some else [F.lit("").alias("path")]))
         return [r["path"] for r in held.join(ids, "id", "left_semi").select("path").distinct().collect()]
 
-    def replace(self, base: int, gone: list[str], df: DataFrame) -> int:
-        """Version ``base`` + 1: ``df`` (physical names) in place of the files ``gone``; the other files stay as they are."""
+    def replace(self, base: int, gone: list[str], df: DataFrame, schema: StructType | None = None) -> int:
+        """Version ``base`` + 1: ``df`` (physical names) in place of the files ``gone``; the other files stay as they are.
+
+        ``schema`` is the table's from now on, if columns are added.
+        """
         new = self.write(df, len(gone))
         old = self.manifest(base)
         lost = self.spark.createDataFrame([(p,) for p in gone], "path string")
-        return self._commit(base + 1, old.join(lost, "path", "left_anti").select("path", "n_rows", "low", "high").unionByName(new), self.schema(base))
+        return self._commit(base + 1, old.join(lost, "path", "left_anti").select("path", "n_rows", "low", "high").unionByName(new), schema or self.schema(base))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bilens import catalog as C
 from bilens.functions import expr as E
 from bilens.model import LEGACY_ID, DeclarationError, Entity, Field, LegacyTable, Phase, Relationship, Source
+from bilens.operators import backfill
 from bilens.operators.keyindex import KeyIndex
 from bilens.operators.put import WriteRefused, put, put_files
 from bilens.plans import mappings as M
@@ -121,3 +122,50 @@ def test_an_index_follows_the_versions(spark, boxes):
     assert index.refresh() == 1  # the one file that was rewritten
     assert [r["label"] for r in index.find([key(3), key(4), key(2000)]).orderBy(LEGACY_ID).collect()] == ["three", "new"]
     assert index.find(key(4), version=0).first()["label"] == "box 4"
+
+
+def fill_of(column="code"):
+    return backfill.Plan("boxes", "id", "needs_backfill", {column: F.concat(F.lit("c"), F.col("id"))})
+
+
+def test_a_killed_backfill_goes_on_where_it_stopped(spark, boxes):
+    def killed(done, total):
+        if done >= 4:
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        backfill.run_files(boxes, fill_of(), 2, progress=killed)
+    filled = {p: s for p, s in stamps(boxes).items() if p not in backfill.pending_files(boxes, fill_of())}
+    assert boxes.latest() == 2 and len(filled) == 4 and boxes.read().filter("code IS NOT NULL").agg(F.max("id")).first()[0] == 399
+    done = backfill.run_files(boxes, fill_of(), 2)
+    after = stamps(boxes)
+    assert done.complete and (done.steps, done.rows, done.version) == (3, 600, 5) and all(after[p] == s for p, s in filled.items())
+    assert boxes.read().filter("code = concat('c', id) AND NOT needs_backfill").count() == 1000
+    again = backfill.run_files(boxes, fill_of(), 2)
+    assert (again.steps, again.version) == (0, 5)
+
+
+def test_writers_between_the_steps_of_a_backfill(spark, boxes, monkeypatch):
+    change = spark.createDataFrame([("update", 3, "three", 3), ("insert", 2000, "late", 1)], CHANGES)
+    taken, replace = [], FileTable.replace
+
+    def slow(self, base, *rest):
+        if not taken:  # somebody commits just before the first step does
+            taken.append(put_files(ENTITY, boxes, none, change))
+        return replace(self, base, *rest)
+
+    monkeypatch.setattr(FileTable, "replace", lambda self, base, *rest: slow(self, base, *rest) if len(rest) == 3 and rest[2] is not None and "code" in rest[2].fieldNames() else replace(self, base, *rest))
+    done = backfill.run_files(boxes, fill_of(), 5)
+    assert done.complete and taken and boxes.read().filter("code = concat('c', id)").count() == 1001
+    assert boxes.read().filter("id = 3").first()["boxName"] == "three"
+
+
+def test_keys_that_are_flagged_again_and_again_end_a_backfill(spark, boxes):
+    restless = backfill.Plan("boxes", "id", "needs_backfill", {"code": F.lit("c")})
+    real = backfill.apply
+    try:
+        backfill.apply = lambda df, fill, chosen=None: real(df, fill, chosen).withColumn(fill.flag, F.lit(True))
+        with pytest.raises(RuntimeError, match="stay flagged"):
+            backfill.run_files(boxes, restless, 2)
+    finally:
+        backfill.apply = real
