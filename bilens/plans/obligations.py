@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
-from itertools import product
+from itertools import islice, product
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +19,12 @@ from .lens import Lens, lenses
 
 #: Cells of an incomplete table that a message shows.
 SHOWN = 3
-#: Assignments that an enumeration looks at, at most; beyond it the table is measured.
+#: Assignments that an enumeration looks at, at most; beyond it cases are searched for.
 MOST_CELLS = 1 << 16
+#: Steps of one search, at most; beyond it the table is measured.
+MOST_STEPS = 20_000
+#: Values of an atom's free columns that a step tries, at most; with more the atom may be anything.
+FEW_VALUES = 512
 
 
 @dataclass(frozen=True)
@@ -119,6 +123,20 @@ def _truth(guard: E.Expr, held: dict[E.Expr, bool | None]) -> bool | None:
     return held[guard]
 
 
+def _values(table: LegacyTable, r: E.Ref) -> list | None:
+    """All values of a column, null among them where it can be, or None where they are not listed."""
+    f = _field(table, r)
+    domain = f.domain()
+    return None if domain is None else [*domain, *([None] if f.nullable or r.path else [])]
+
+
+def _states(table: LegacyTable, a: E.Expr) -> list[bool | None]:
+    """The truths of an atom: unknown too, unless it is a null test or its columns are never null."""
+    tests_null = isinstance(a, E.Call) and (a.op == "is_null" or a.op in ("eq", "ne") and E.Lit(None) in a.args)
+    certain = tests_null or not any(_field(table, r).nullable or r.path for r in E.refs(a))
+    return [True, False] if certain else [True, False, None]
+
+
 def _cells(guards: list[E.Expr], table: LegacyTable) -> Iterable[tuple[str, list[bool | None]]] | None:
     """(description, each guard's truth) of every case, or None where cases cannot be listed.
 
@@ -129,11 +147,7 @@ def _cells(guards: list[E.Expr], table: LegacyTable) -> Iterable[tuple[str, list
     columns = list(dict.fromkeys(r for g in guards for r in E.refs(g)))
     if any(E.opaque(g) for g in guards):
         return None
-    values = []
-    for r in columns:
-        f = _field(table, r)
-        domain = f.domain()
-        values.append(None if domain is None else [*domain, *([None] if f.nullable or r.path else [])])
+    values = [_values(table, r) for r in columns]
     if None not in values:
         size = 1
         for v in values:
@@ -149,12 +163,7 @@ def _cells(guards: list[E.Expr], table: LegacyTable) -> Iterable[tuple[str, list
             return None
     atoms = list(dict.fromkeys(a for g in guards for a in _atoms(g)))
 
-    def states(a: E.Expr) -> list[bool | None]:
-        tests_null = isinstance(a, E.Call) and (a.op == "is_null" or a.op in ("eq", "ne") and E.Lit(None) in a.args)
-        certain = tests_null or not any(_field(table, r).nullable or r.path for r in E.refs(a))
-        return [True, False] if certain else [True, False, None]
-
-    options = [states(a) for a in atoms]
+    options = [_states(table, a) for a in atoms]
     size = 1
     for o in options:
         size *= len(o)
@@ -166,6 +175,110 @@ def _cells(guards: list[E.Expr], table: LegacyTable) -> Iterable[tuple[str, list
     ]
 
 
+#: Truths that something may have, as a set of bits.
+_BIT = {True: 1, False: 2, None: 4}
+TRUE, NOT_TRUE, _ANY = 1, 6, 7
+_MEMBERS = [[t for t, bit in _BIT.items() if bits & bit] for bits in range(8)]
+_both = lambda p, q: False if False in (p, q) else None if None in (p, q) else True
+_NOT = [sum({_BIT[None if p is None else not p] for p in _MEMBERS[x]}) for x in range(8)]
+_AND = [[sum({_BIT[_both(p, q)] for p in _MEMBERS[x] for q in _MEMBERS[y]}) for y in range(8)] for x in range(8)]
+
+
+class Search:
+    """Cases of guards by search instead of by listing: what cannot become a case any more is not gone into.
+
+    Variables are the guards' columns where all their values are listed, otherwise the atoms;
+    a guard under some of them has a set of truths that it may still have.
+    """
+
+    def __init__(self, guards: list[E.Expr], table: LegacyTable) -> None:
+        if any(E.opaque(g) for g in guards):
+            raise E.Undecidable("a guard is a fragment")
+        columns = list(dict.fromkeys(r for g in guards for r in E.refs(g)))
+        listed = {r: _values(table, r) for r in columns}
+        self.by_columns = all(v is not None for v in listed.values())
+        self.domain: dict[E.Expr, list] = listed if self.by_columns else {a: _states(table, a) for g in guards for a in _atoms(g)}
+        self.names: dict[E.Expr, list[E.Expr]] = {}
+        self.steps = 0
+
+    def _atom(self, atom: E.Expr, held: dict) -> int:
+        if not self.by_columns:
+            return sum(_BIT[v] for v in held[atom])
+        refs = list(dict.fromkeys(E.refs(atom)))
+        size = 1
+        for r in refs:
+            size *= len(held[r])
+        if size > FEW_VALUES:
+            return _ANY
+        return sum({_BIT[E.evaluate(atom, dict(zip(refs, row)))] for row in product(*(held[r] for r in refs))})
+
+    def may_be(self, guard: E.Expr, held: dict) -> int:
+        match guard:
+            case E.Call("and", (a, b)):
+                x = self.may_be(a, held)
+                return x if x == _BIT[False] else _AND[x][self.may_be(b, held)]
+            case E.Call("or", (a, b)):
+                x = self.may_be(a, held)
+                return x if x == _BIT[True] else _NOT[_AND[_NOT[x]][_NOT[self.may_be(b, held)]]]
+            case E.Call("not", (a,)):
+                return _NOT[self.may_be(a, held)]
+            case E.Lit(value):
+                return _BIT[value]
+        return self._atom(guard, held)
+
+    def _split(self, guard: E.Expr, allowed: int) -> Iterable[tuple[E.Expr, int]]:
+        """What ``guard`` in ``allowed`` says of its parts, where it says the same of each on its own."""
+        match guard:
+            case E.Call("not", (a,)):
+                yield from self._split(a, _NOT[allowed])
+            case E.Call("and", (a, b)) if allowed in (TRUE, TRUE | _BIT[None]):
+                yield from (*self._split(a, allowed), *self._split(b, allowed))
+            case E.Call("or", (a, b)) if allowed in (_BIT[False], NOT_TRUE):
+                yield from (*self._split(a, allowed), *self._split(b, allowed))
+            case _:
+                yield guard, allowed
+
+    def _cases(self, wanted: list[tuple[E.Expr, int]], held: dict) -> Iterable[dict]:
+        self.steps += 1
+        if self.steps > MOST_STEPS:
+            raise E.Undecidable("too many cases")
+        still = []
+        for guard, allowed in wanted:
+            may = self.may_be(guard, held)
+            if not may & allowed:
+                return
+            if may & ~allowed:
+                still.append((guard, allowed))
+        if not still:
+            yield held
+            return
+        # The guard that has the fewest variables left decides soonest.
+        open_ = min(([n for n in self._names(g) if len(held[n]) > 1] for g, _ in still), key=len)
+        for value in held[open_[0]]:
+            yield from self._cases(still, held | {open_[0]: [value]})
+
+    def _names(self, guard: E.Expr) -> list[E.Expr]:
+        if guard not in self.names:
+            self.names[guard] = list(dict.fromkeys([r for a in _atoms(guard) for r in E.refs(a)] if self.by_columns else _atoms(guard)))
+        return self.names[guard]
+
+    def find(self, wanted: list[tuple[E.Expr, int]], most: int = 1) -> list[str]:
+        """Up to ``most`` cases in which each guard has one of the truths wanted, by the variables that were decided."""
+        self.steps, held, rest = 0, dict(self.domain), []
+        for guard, allowed in (part for g, t in wanted for part in self._split(g, t)):
+            names = self._names(guard)
+            if len(names) == 1 and _atoms(guard) == [guard]:  # it says what its variable may be
+                fits = lambda v: _BIT[E.evaluate(guard, {names[0]: v}) if self.by_columns else v] & allowed  # noqa: B023, E731
+                held[names[0]] = [v for v in held[names[0]] if fits(v)]
+                if not held[names[0]]:
+                    return []
+            else:
+                rest.append((guard, allowed))
+        # One value of each variable that was narrowed down stands for the case.
+        told = lambda n, v: f"{n.name}={v!r}" if self.by_columns else f"{_said(n)}={'unknown' if v is None else str(v).lower()}"
+        return [", ".join(told(n, v[0]) for n, v in case.items() if len(v) == 1 or len(v) < len(self.domain[n])) for case in islice(self._cases(rest, held), most)]
+
+
 def _said(e: E.Expr) -> str:
     match e:
         case E.Ref(name, path):
@@ -177,6 +290,27 @@ def _said(e: E.Expr) -> str:
     return type(e).__name__.lower()
 
 
+@dataclass(frozen=True)
+class Searched:
+    """What a search says of a collapse: cases that no clause takes, clauses never reached, whether two can hold at once."""
+
+    open: list[str]
+    masked: list[int]
+    overlap: bool
+
+
+def _searched(guards: list[E.Expr], table: LegacyTable, fallback: bool, hit_policy: str) -> Searched | None:
+    """None where guards say nothing that can be decided, or have too many cases even so."""
+    try:
+        search = Search(guards, table)
+        open_ = [] if fallback else search.find([(g, NOT_TRUE) for g in guards], SHOWN)
+        masked = [k for k, g in enumerate(guards) if search.find([(g, TRUE)]) and not search.find([(g, TRUE), *[(h, NOT_TRUE) for h in guards[:k]]])]
+        overlap = hit_policy == "unique" and any(search.find([(g, TRUE), (h, TRUE)]) for k, g in enumerate(guards) for h in guards[:k])
+    except (E.Undecidable, TypeError):
+        return None
+    return Searched(open_, masked, overlap)
+
+
 def _collapse(lens: Lens, entity: Entity) -> Iterable[Finding]:
     m, a, table = lens.mapping, entity.attribute(lens.attribute), entity.source.table
     fallback = m.clauses[-1].when == M.OTHERWISE
@@ -185,7 +319,13 @@ def _collapse(lens: Lens, entity: Entity) -> Iterable[Finding]:
     hits = lambda: F.aggregate(F.array(*[F.coalesce(_column(g), F.lit(False)).cast("int") for g in guards] or [F.lit(0)]), F.lit(0), lambda s, x: s + x)
     none, many = (lambda: hits() == 0), (lambda: hits() > 1)
     cells = _cells(guards, table)
-    if cells is None:
+    searched = None if cells is not None else _searched(guards, table, fallback, m.hit_policy)
+    if searched is not None:
+        if searched.open:
+            yield Finding("completeness", a.name, "error", f"{a.name} is null in cases such as {'; '.join(searched.open)}", _where(none))
+        for k in searched.masked:
+            yield Finding("masked_rule", a.name, "error", f"{a.name}: {guarded[k].value!r} is never reached, clauses before it take its cases")
+    elif cells is None:
         yield Finding("guards", a.name, "warning", f"{a.name}: its guards cannot be enumerated; data must show that one holds", None if fallback else _where(none))
     else:
         cells = list(cells)
@@ -195,7 +335,7 @@ def _collapse(lens: Lens, entity: Entity) -> Iterable[Finding]:
             mine = [truth for _, truth in cells if truth[k] is True]
             if mine and all(True in truth[:k] for truth in mine):
                 yield Finding("masked_rule", a.name, "error", f"{a.name}: {c.value!r} is never reached, clauses before it take its cases")
-    if m.hit_policy == "unique" and (cells is None or any(truth.count(True) > 1 for _, truth in cells)):
+    if m.hit_policy == "unique" and (searched.overlap if searched is not None else cells is None or any(truth.count(True) > 1 for _, truth in cells)):
         yield Finding("non_overlap", a.name, "warning", f"{a.name}: more than one clause may hold; data must show that none do", _where(many))
     domain = a.domain()
     reached = [c.value for c in m.clauses]
