@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import expr as E
-from .model import LEGACY_ID, Entity, Field, LegacyTable, Phase, Relationship, Source
+from .model import LEGACY_ID, Entity, Field, LegacyTable, Phase, Relationship, Source, storage_type
 from .operators import backfill, changes, check, drilldown, onepass, reconcile
 from .operators.keyindex import KeyIndex
 from .operators.put import as_upsert, put, put_files
@@ -19,6 +19,7 @@ from .operators.view import find, modern_view, page, reverse_view
 from .plans import lineage, mechanism, obligations
 from .plans import mappings as M
 from .plans.verify import refusals, verify
+from .sources import discover
 from .sources.files import FileTable
 from .sources.staging import shared_dir
 from .sources.tables import parquet, replacing
@@ -496,6 +497,44 @@ def check_freshness(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, check.SCHEMA)
 
 
+#: Tables whose keys and references are looked for in their data.
+OBSERVED = (REGION, NATION, CUSTOMER, ORDERS, PART)
+
+
+def discover_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The smallest unique sets of up to two columns of five tables."""
+    load = _load(spark, sf)
+    rows = [(t.name, ", ".join(u.columns), u.nulls) for t in OBSERVED for u in discover.unique_sets(load(t), 2, t.names())]
+    return spark.createDataFrame(rows, "table string, columns string, nulls boolean")
+
+
+def discover_references(spark: SparkSession, sf: str) -> DataFrame:
+    """All columns of five tables that hold only values of one of their keys."""
+    keys = {t.name: list(t.primary_key) for t in OBSERVED}
+    found = discover.references(_load(spark, sf), OBSERVED, keys)
+    rows = [(r.table, r.column, r.target, r.key, r.n_values, r.n_keys, r in discover.likely(found)) for r in found]
+    return spark.createDataFrame(rows, "table string, column string, target string, key string, n_values bigint, n_keys bigint, likely boolean")
+
+
+def _discover_sql() -> tuple[str, str]:
+    """The same by counting every set, and by anti-joining every pair."""
+    unique = lambda t, cs: f"(SELECT count(*) = count(DISTINCT ({', '.join(cs)})) AND count(*) > 0 FROM {t.name} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in cs)})"
+    row = lambda t, cs, where: f"SELECT '{t.name}' AS \"table\", '{', '.join(cs)}' AS \"columns\", (SELECT count(*) > 0 FROM {t.name} WHERE {' OR '.join(f'{c} IS NULL' for c in cs)}) AS nulls WHERE {where}"
+    sets = [row(t, [c], unique(t, [c])) for t in OBSERVED for c in t.names()]
+    sets += [row(t, [c, d], f"NOT {unique(t, [c])} AND NOT {unique(t, [d])} AND {unique(t, [c, d])}") for t in OBSERVED for k, c in enumerate(t.names()) for d in t.names()[k + 1 :]]
+    ways = []
+    whole = lambda t, c: storage_type(t.field(c).type)
+    for t in OBSERVED:
+        for c in t.names():
+            for u in OBSERVED:
+                k = u.primary_key[0]
+                if (t, c) != (u, k) and whole(t, c) == whole(u, k):
+                    likely = t is not u and c.rsplit("_", 1)[-1] == k.rsplit("_", 1)[-1]
+                    ways.append(f"""SELECT '{t.name}' AS "table", '{c}' AS "column", '{u.name}' AS target, '{k}' AS "key", (SELECT count(DISTINCT {c}) FROM {t.name}) AS n_values, (SELECT count(DISTINCT {k}) FROM {u.name}) AS n_keys, {likely} AS likely
+                        WHERE EXISTS (SELECT 1 FROM {t.name} WHERE {c} IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM {t.name} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {k} FROM {u.name} WHERE {k} IS NOT NULL))""")
+    return " UNION ALL ".join(sets), " UNION ALL ".join(ways)
+
+
 def check_stale(spark: SparkSession, sf: str) -> DataFrame:
     """The report over a description that names a column the table has lost, and one of another type."""
     orders = LegacyTable("orders", (*ORDERS.fields[:2], Field("o_orderpriority", "int"), Field("o_clerk", "string")), ("o_orderkey",))
@@ -619,6 +658,7 @@ def _table() -> dict[str, tuple[_Q, str | None]]:
     t["check_casts"] = (lambda spark, sf: check.casts(BAD_CAST, _load(spark, sf)), "SELECT 'code' AS subject, count(*) FILTER (WHERE p_type IS NOT NULL AND TRY_CAST(p_type AS BIGINT) IS NULL) AS measured FROM part UNION ALL SELECT 'price', 0::BIGINT")
     t["check_fanout"] = (lambda spark, sf: check.fan_out(FANNED, _load(spark, sf)), "SELECT (SELECT count(*) FROM customer) AS base_rows, (SELECT count(*) FROM customer LEFT JOIN orders ON o_custkey = c_custkey) AS joined_rows")
     t["check_freshness"] = (check_freshness, "SELECT * FROM (VALUES ('freshness', 'region.r_comment', 'fail', 1::BIGINT, 'no column r_comment'), ('freshness', 'region.r_name', 'warn', 1::BIGINT, 'not declared')) AS v(\"check\", subject, status, measured, detail)")
+    t["discover_keys"], t["discover_references"] = zip((discover_keys, discover_references), _discover_sql())
     t["check_stale"] = (check_stale, """SELECT *, 'fail' AS outcome FROM (VALUES ('freshness', 'orders.o_clerk', 'fail'), ('freshness', 'orders.o_orderpriority', 'fail'),
         ('freshness', 'orders.o_orderstatus', 'warn'), ('freshness', 'orders.o_totalprice', 'warn'), ('freshness', 'orders.o_orderdate', 'warn'), ('nulls', 'clerks', 'unrun'), ('unique', 'orders(o_orderkey)', 'unrun')) AS v("check", subject, status)""")
     t["check_together"] = (check_together, """WITH lines AS (SELECT count(*) AS n FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)),
