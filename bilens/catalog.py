@@ -483,6 +483,27 @@ def stream_notify(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select("action", "op", LEGACY_ID, "status_code", "priority")
 
 
+def stream_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Two writes to orders kept in files, followed as a stream that stops after the first and goes on."""
+    from .streaming.versions import follow
+
+    kept, load = _order_files(spark, sf), _load(spark, sf)
+    notified = Entity("edit_orders", EDIT_ORDERS.attributes, Source(ORDERS, EDIT_ORDERS.source.mappings, notify=True), Phase.DUAL_WRITE)
+    folder = f"{shared_dir(spark)}/bilens-versions-{uuid.uuid4().hex}"
+
+    def keep(number: int, events: DataFrame) -> None:
+        events.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/{number}")
+
+    edits = [
+        _edits(spark, sf, "update", "__legacy_id % 50 = 0 AND __legacy_id <= 400", priority=F.lit("0-NEW")).drop("urgent"),
+        _edits(spark, sf, "delete", "__legacy_id % 60 = 1 AND __legacy_id <= 900").drop("urgent").unionByName(_edits(spark, sf, "insert", "__legacy_id % 500 = 2", __legacy_id=F.col("__legacy_id") + 1_000_000_000).drop("urgent")),
+    ]
+    for some in edits:
+        put_files(EDIT_ORDERS, kept, load, some)
+        follow(notified, kept, keep, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out/*")
+
+
 def _violations(entity: Entity, obligation: str, columns: list[str]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         found = next(f for f in obligations.check(entity) if f.obligation == obligation)
@@ -659,6 +680,9 @@ def _table() -> dict[str, tuple[_Q, str | None]]:
     t["check_fanout"] = (lambda spark, sf: check.fan_out(FANNED, _load(spark, sf)), "SELECT (SELECT count(*) FROM customer) AS base_rows, (SELECT count(*) FROM customer LEFT JOIN orders ON o_custkey = c_custkey) AS joined_rows")
     t["check_freshness"] = (check_freshness, "SELECT * FROM (VALUES ('freshness', 'region.r_comment', 'fail', 1::BIGINT, 'no column r_comment'), ('freshness', 'region.r_name', 'warn', 1::BIGINT, 'not declared')) AS v(\"check\", subject, status, measured, detail)")
     t["discover_keys"], t["discover_references"] = zip((discover_keys, discover_references), _discover_sql())
+    t["stream_versions"] = (stream_versions, """SELECT 'edit_orders' AS resource, o_orderkey::VARCHAR AS legacy_id, 'update' AS op, 1 AS version FROM orders WHERE o_orderkey % 50 = 0 AND o_orderkey <= 400
+        UNION ALL SELECT 'edit_orders', o_orderkey::VARCHAR, 'delete', 2 FROM orders WHERE o_orderkey % 60 = 1 AND o_orderkey <= 900
+        UNION ALL SELECT 'edit_orders', (o_orderkey + 1000000000)::VARCHAR, 'insert', 2 FROM orders WHERE o_orderkey % 500 = 2""")
     t["check_stale"] = (check_stale, """SELECT *, 'fail' AS outcome FROM (VALUES ('freshness', 'orders.o_clerk', 'fail'), ('freshness', 'orders.o_orderpriority', 'fail'),
         ('freshness', 'orders.o_orderstatus', 'warn'), ('freshness', 'orders.o_totalprice', 'warn'), ('freshness', 'orders.o_orderdate', 'warn'), ('nulls', 'clerks', 'unrun'), ('unique', 'orders(o_orderkey)', 'unrun')) AS v("check", subject, status)""")
     t["check_together"] = (check_together, """WITH lines AS (SELECT count(*) AS n FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)),
