@@ -12,6 +12,7 @@ from .model import Entity
 from .operators import check
 from .plans import diagram, lineage, migration
 from .plans.verify import refusals
+from .sources import discover
 from .sources.tables import describe, parquet, render
 
 
@@ -35,9 +36,11 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("name")
     c.add_argument("--key", nargs="*", default=[])
     c.add_argument("--unique", nargs="*", default=[], help="columns of a unique set, joined by commas")
+    c.add_argument("--observe", type=int, default=0, metavar="N", help="look for unique sets of up to N columns in the data where none are given")
     for name, text in (("check", "measure what the declarations promise"), ("plan", "the steps of each entity's phase"), ("diagram", "Mermaid text"), ("lineage", "OpenLineage JSON")):
         c = commands.add_parser(name, help=text)
         c.add_argument("entities", help="module:NAME")
+        c.add_argument("--domain", help="only the entities of this part of the model")
         if name in ("check", "plan"):
             c.add_argument("--data", help="folder of Parquet tables")
         if name == "check":
@@ -50,12 +53,16 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument("--namespace", default="bilens")
     args = parser.parse_args(argv)
     if args.command == "describe":
-        table, left = describe(_session().read.parquet(args.path), args.name, args.key, [u.split(",") for u in args.unique])
+        df, key, uniques = _session().read.parquet(args.path), args.key, [u.split(",") for u in args.unique]
+        table, left = describe(df, args.name, key, uniques)
+        if args.observe and not key and not uniques:
+            table = discover.described(table, discover.unique_sets(df, args.observe, table.names()))
+            print("# keys and unique sets are observed, not declared")
         print(render(table), end="")
         for column in left:
             print(f"# {column} has a type that only a fragment can reach")
         return 0
-    found = entities(args.entities)
+    found = [e for e in entities(args.entities) if args.domain is None or e.domain == args.domain]
     if args.command == "check":
         bad = [(e.name, *r) for e in found for r in refusals(e)]
         for name, rule, message in bad:

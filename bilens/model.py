@@ -177,6 +177,8 @@ class Entity:
     identities: tuple[tuple[str, ...], ...] = ()
     upserts: bool = False
     nulls_distinct: bool = True
+    #: The part of the model that it belongs to, by which commands choose entities.
+    domain: str | None = None
 
     def attribute(self, name: str) -> Field:
         for f in self.attributes:

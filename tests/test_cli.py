@@ -1,6 +1,8 @@
 """Commands print what the functions return, and say by their exit code how it went."""
 
-from bilens import cli
+from dataclasses import replace
+
+from bilens import catalog, cli
 
 
 def test_commands(spark, sf, capsys, tmp_path):
@@ -13,6 +15,17 @@ def test_commands(spark, sf, capsys, tmp_path):
     assert cli.main(["plan", "bilens.catalog:RENAMED", "--data", sf]) == 0 and "view people" in capsys.readouterr().out
 
 
+def test_observed_keys_and_domains(spark, sf, capsys, monkeypatch):
+    assert cli.main(["describe", f"{sf}/customer.parquet", "customer", "--observe", "1"]) == 0
+    said = capsys.readouterr().out
+    assert "observed" in said and "primary_key=('c_custkey',)" in said and "('c_name',)" in said
+    monkeypatch.setattr(catalog, "SOME", [replace(catalog.RENAMED, domain="people"), replace(catalog.NARROW, domain="sales")], raising=False)
+    assert cli.main(["check", "bilens.catalog:SOME", "--no-data"]) == 1
+    assert cli.main(["check", "bilens.catalog:SOME", "--no-data", "--domain", "people"]) == 0
+    said = capsys.readouterr().out.splitlines()
+    assert cli.main(["check", "bilens.catalog:SOME", "--no-data", "--domain", "none"]) == 0 and any(" people " in line for line in said)
+
+
 def test_exit_codes(spark, sf, capsys):
     assert cli.main(["check", "bilens.catalog:RENAMED", "--data", sf]) == 0
     assert cli.main(["check", "bilens.catalog:NARROW", "--data", sf]) == 1 and "refused narrow_status" in capsys.readouterr().out
