@@ -20,7 +20,7 @@ from .plans import lineage, mechanism, obligations
 from .plans import mappings as M
 from .plans.verify import refusals, verify
 from .sources import discover
-from .sources.files import FileTable
+from .sources.files import FileTable, Snapshot
 from .sources.staging import shared_dir
 from .sources.tables import parquet, replacing
 
@@ -343,6 +343,16 @@ def reconcile_diff(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(d.agrees, d.legacy, d.view, d.ranges)], "agrees boolean, legacy bigint, view bigint, ranges bigint")
 
 
+def reconcile_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """The same comparison over one list of files, looked at again at the end."""
+    fixed = Snapshot(spark, sf)
+    view = modern_view(MODERN_ORDERS, fixed.load)
+    wrong = F.when(F.col(LEGACY_ID) % 997 == 0, F.lit("5-LOW?")).otherwise(F.col("priority"))
+    pair = reconcile.plan(MODERN_ORDERS, fixed.load, view.filter(f"{LEGACY_ID} % 1009 <> 0").withColumn("priority", wrong), only=["status_code", "total", "priority"])
+    d = reconcile.diff(pair, snapshot=fixed)
+    return spark.createDataFrame([(d.agrees, d.legacy, d.view, d.ranges)], "agrees boolean, legacy bigint, view bigint, ranges bigint")
+
+
 def reconcile_clean(spark: SparkSession, sf: str) -> DataFrame:
     load = _load(spark, sf)
     pair = reconcile.plan(MODERN_ORDERS, load, modern_view(MODERN_ORDERS, load))
@@ -716,6 +726,7 @@ def _table() -> dict[str, tuple[_Q, str | None]]:
         x AS (SELECT *, {_CELL_SQL.format('k')} || '|' || {_CELL_SQL.format('v')} AS t FROM n), g AS (SELECT r, min(k) AS lower, max(k) AS upper, count(*) AS rows, md5(string_agg(t, chr(10) ORDER BY k)) AS legacy_sum,
         md5(coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (WHERE there), '')) AS view_sum FROM x GROUP BY r) SELECT lower, upper, rows, legacy_sum, view_sum, legacy_sum = view_sum AS agrees FROM g""")
     t["reconcile_diff"] = (reconcile_diff, _BOTH_SQL + " SELECT FALSE AS agrees, (SELECT count(*) FROM l) AS legacy, (SELECT count(*) FROM m) AS view, (SELECT count(DISTINCT k // 1000) FROM l) AS ranges")
+    t["reconcile_snapshot"] = (reconcile_snapshot, t["reconcile_diff"][1])
     t["reconcile_clean"] = (reconcile_clean, "SELECT TRUE AS agrees, count(DISTINCT o_orderkey // 1000) AS ranges, count(*) AS rows FROM orders")
     t["backfill_plan"] = (backfill_plan, "SELECT * FROM (VALUES ('orders', 'o_orderkey', 'needs_backfill', 'o_totalprice'), ('orders', 'o_orderkey', 'needs_backfill', 'public_id')) AS v(relation, key, flag, \"column\")")
     t["backfill_run"] = (backfill_run, f"SELECT o_orderkey, {uuid5_sql('orders', 'o_orderkey')} AS public_id, o_totalprice + 1 AS o_totalprice, FALSE AS needs_backfill FROM orders")

@@ -12,6 +12,7 @@ from pyspark.sql.types import NumericType
 from ..functions.compile import compile, qualified
 from ..model import LEGACY_ID, DeclarationError, Entity, Field
 from ..plans.lens import key_of, lenses
+from ..sources.files import Snapshot
 from ..sources.staging import pinned
 from ..sources.tables import Load
 from .put import numbered
@@ -144,16 +145,20 @@ class Diff:
     mismatched: DataFrame
 
 
-def diff(pair: Pair, size: int = RANGE_SIZE, pin: bool = False) -> Diff:
+def diff(pair: Pair, size: int = RANGE_SIZE, pin: bool = False, snapshot: Snapshot | None = None) -> Diff:
     """Counts and checksums together; only two counts and two sums of ranges reach the driver.
 
     ``pin`` computes both sides once first, for sources that may change between two reads.
+    Where both sides are read through a ``snapshot``, no copy is needed: what was found
+    stands only if its files are what they were.
     """
     if pin:
         pair = Pair(pinned(pair.legacy), pinned(pair.modern), pair.columns)
     counts = count_drift(pair).first()
     sums = checksums(pair, size)
     seen = sums.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("agrees")).alias("bad")).first()
+    if snapshot is not None:
+        snapshot.verify()
     return Diff(bool(counts["agrees"]) and seen["bad"] == 0, counts["legacy"], counts["view"], seen["n"], sums.filter("NOT agrees"))
 
 

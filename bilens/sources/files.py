@@ -140,3 +140,48 @@ class FileTable:
         old = self.manifest(base)
         lost = self.spark.createDataFrame([(p,) for p in gone], "path string")
         return self._commit(base + 1, old.join(lost, "path", "left_anti").select("path", "n_rows", "low", "high").unionByName(new), schema or self.schema(base))
+
+
+class SnapshotChanged(RuntimeError):
+    """A file that was read is not what it was when the snapshot was taken."""
+
+
+class Snapshot:
+    """Tables as the files they consisted of when first asked for: a fixed view without a copy.
+
+    Every read of a table is of the same list of files, so files that come later are not
+    seen. ``verify`` says whether those files are still there with their lengths and times; a
+    comparison over several reads holds only if it does.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, suffix: str = ".parquet") -> None:
+        self.spark, self.folder, self.suffix = spark, folder, suffix
+        self.held: dict[str, tuple[StructType, dict[str, tuple[int, int]]]] = {}
+
+    def _status(self, paths: list[str]) -> dict[str, tuple[int, int]]:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        out = {}
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            fs = path.getFileSystem(conf)
+            if fs.exists(path):
+                found = fs.getFileStatus(path)
+                out[p] = (found.getLen(), found.getModificationTime())
+        return out
+
+    def load(self, table: LegacyTable) -> DataFrame:
+        if table.name not in self.held:
+            df = self.spark.read.parquet(f"{self.folder}/{table.name}{self.suffix}")
+            self.held[table.name] = (df.schema, self._status(df.inputFiles()))
+        schema, files = self.held[table.name]
+        df = self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
+        return named(df, table)
+
+    def changed(self) -> list[str]:
+        """The files that are gone or are others by now."""
+        return [p for _, files in self.held.values() for p, was in files.items() if self._status([p]).get(p) != was]
+
+    def verify(self) -> None:
+        gone = self.changed()
+        if gone:
+            raise SnapshotChanged(f"{len(gone)} files changed since the snapshot, such as {gone[0]}; compare again")

@@ -1,12 +1,17 @@
 """Descending two trees of sums, beside a join of all rows."""
 
+import os
 import random
+import shutil
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
-from bilens.model import LEGACY_ID, DeclarationError
+from bilens.model import LEGACY_ID, DeclarationError, Field, LegacyTable
 from bilens.operators import drilldown, reconcile
+from bilens.sources.files import Snapshot, SnapshotChanged
 
 
 def pair(spark, left, right, kind="bigint"):
@@ -82,3 +87,23 @@ def test_the_ranges_reach_the_scan(spark, tmp_path):
     plan = found.rows.legacy._jdf.queryExecution().executedPlan().toString()
     assert f"GreaterThanOrEqual({LEGACY_ID},4300),LessThanOrEqual({LEGACY_ID},4399" in plan  # among the scan's pushed filters
     assert [tuple(r) for r in found.mismatched.collect()] == [(4321, "a", "v", "w")]
+
+
+def test_a_snapshot_is_one_list_of_files(spark, tmp_path):
+    table = LegacyTable("t", (Field("id", "bigint", False), Field("v", "string")), ("id",))
+    rows = spark.range(100).select("id", F.concat(F.lit("v"), "id").alias("v"))
+    rows.repartition(4).write.parquet(f"{tmp_path}/t.parquet")
+    fixed = Snapshot(spark, f"file://{tmp_path}")
+    compare = lambda: reconcile.given(fixed.load(table), fixed.load(table), "id", {"v": (F.col("v"), F.col("v"))})
+    assert reconcile.diff(compare(), snapshot=fixed).agrees
+    # A file that comes later is not seen, and changes nothing.
+    spark.createDataFrame([(1000, "late")], "id bigint, v string").write.mode("append").parquet(f"{tmp_path}/t.parquet")
+    assert fixed.load(table).count() == 100 and reconcile.diff(compare(), snapshot=fixed).agrees
+    # One that is replaced is found out.
+    one = Path(urlparse(next(iter(fixed.held["t"][1]))).path)
+    other = next(p for p in sorted(tmp_path.glob("t.parquet/part-*")) if p.stat().st_size != one.stat().st_size)
+    shutil.copy(other, f"{one}.new")
+    os.replace(f"{one}.new", one)
+    (one.parent / f".{one.name}.crc").unlink()
+    with pytest.raises(SnapshotChanged, match="1 files changed"):
+        reconcile.diff(compare(), snapshot=fixed)
