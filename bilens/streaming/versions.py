@@ -18,6 +18,7 @@ from ..model import Entity
 from ..operators import changes
 from ..sources.files import FileTable
 from ..sources.tables import named
+from .listen import handed
 
 
 def between(entity: Entity, files: FileTable, old: int, new: int) -> DataFrame:
@@ -45,17 +46,12 @@ def follow(entity: Entity, files: FileTable, handle: Callable[[int, DataFrame],
         feed = feed.option("maxFilesPerTrigger", versions_per_batch)
     markers = feed.load(f"{files.folder}/versions").select(F.regexp_extract(F.input_file_name(), r"(\d+)$", 1).cast("int").alias("version"))
 
-    def done(number: int):
-        return files._fs(f"{checkpoint}-handed/{number:010d}")
-
     def batch(df: DataFrame, _: int) -> None:
         # As many rows as versions were committed meanwhile.
         for number in sorted(r["version"] for r in df.collect()):
-            path, fs = done(number)
-            if number > since and not fs.exists(path):
-                if changes.emits(entity):
+            with handed(spark, f"{checkpoint}-handed/{number:010d}") as before:
+                if number > since and not before and changes.emits(entity):
                     handle(number, between(entity, files, number - 1, number))
-                fs.create(path, True).close()
 
     writer = markers.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
