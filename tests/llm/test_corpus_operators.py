@@ -369,6 +369,58 @@ def test_lines_with_some_edits_are_found(spark):
         assert {(a, b) for a, b in near & truth if (codes[a] ^ codes[b]).bit_count() <= lines.CODE_BITS} <= found
 
 
+@pytest.mark.parametrize("block", [3, 4096])
+def test_crowded_triples_lose_no_link(spark, block):
+    """However many forms share a triple, all that codes and lengths allow meet there, and groups are those of all pairs."""
+    rng = random.Random(29)
+    vocabulary = ["".join(rng.choice("abdeghiklmnorstu") for _ in range(rng.randint(2, 9))) for _ in range(200)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.randint(6, 30))] for _ in range(12)]
+    forms = set()
+    for k in range(150):
+        words = list(base[k % 12])
+        for _ in range(rng.randint(0, 1 + len(words) // 4)):
+            words[rng.randrange(3, len(words))] = rng.choice(vocabulary)
+        forms.add(" ".join(words))
+    forms = sorted(forms)
+    triples, counts = lines.line_sketches([f.encode() for f in forms])
+    sketches = [set(x.tolist()) for x in np.split(triples, np.cumsum(counts)[:-1])]
+    codes = [int(lines.line_codes([f.encode()])[0]) for f in forms]
+    data = [(k, c, len(f), sorted(s), f) for k, (f, c, s) in enumerate(zip(forms, codes, sketches))]
+    df = spark.createDataFrame(data, "form bigint, fp bigint, size int, sketch array<bigint>, text string")
+
+    def meet(a, b):
+        sizes = sorted((len(forms[a]), len(forms[b])))
+        return bool(sketches[a] & sketches[b]) and ((codes[a] ^ codes[b]) % 2**64).bit_count() <= lines.CODE_BITS and sizes[0] >= 0.8 * sizes[1]
+
+    pairs = {(a, b) for b in range(len(forms)) for a in range(b) if meet(a, b)}
+    assert {(r["a"], r["b"]) for r in lines.form_pairs(df, 0.8, block).collect()} == pairs
+    met = lines._met(df, 0.8, block)
+    assert {(r["triple"], r["form"]) for r in met.collect()} == {(t, x) for a, b in pairs for t in sketches[a] & sketches[b] for x in (a, b)}
+    linked = [(r["a"], r["b"]) for r in lines.form_links(met, df, 0.8, block).collect()]
+    true = {(a, b) for a, b in pairs if lines.similarity(forms[a], forms[b]) >= 0.8}
+    assert set(linked) <= true and 20 < len(true) < len(pairs)
+    assert brute_components(range(len(forms)), lambda a, b: (a, b) in linked or (b, a) in linked) == brute_components(range(len(forms)), lambda a, b: (a, b) in true or (b, a) in true)
+    # A group's links are some that join it under a triple, not one for each two forms.
+    assert block == 3 or len(linked) < len(true)
+
+
+def test_pairs_compared_at_once_are_judged_as_one_by_one():
+    rng = random.Random(4)
+    texts = ["", "a", "\U0001f600b", "x" * 9000, "x" * 8000]
+    for n in (3, 12, 60, 130, 600):
+        for _ in range(40):
+            text = "".join(rng.choice("abcdé \u4e2d") for _ in range(n))
+            edited = list(text)
+            for _ in range(rng.randint(0, n // 3)):
+                at = rng.randrange(len(edited) + 1)
+                edited[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "bc"])
+            texts += [text, "".join(edited)]
+    x = np.array([*range(len(texts) - 1), 3, 0, 0])
+    y = np.array([*range(1, len(texts)), 4, 0, 1])
+    want = [(1 - lines.edit_distance(a, b) / max(len(a), len(b)) if a or b else 1) >= 0.8 for a, b in ((texts[i], texts[j]) for i, j in zip(x, y))]
+    assert lines.Texts(texts).similar(x, y, 0.8).tolist() == want and 50 < sum(want) < len(want) - 50
+
+
 def test_lines_of_the_sample_and_of_nothing(docs, rows, none):
     same(lines.dedup_lines(docs), brute_lines(rows))
     kept = lines.dedup_lines(docs, keep=["lang", "id"])
