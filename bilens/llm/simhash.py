@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import packed
+from . import lines, packed
 from .components import connected_components
 from .storage import cut, lean, ship, stored
 
@@ -155,40 +156,103 @@ def distinct_shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, width), np.uint64))
 
 
-def _segment_links(nodes: DataFrame, dense: int) -> DataFrame:
-    """(a, b): nodes (node, code, segments) that agree in a segment up to one bit and in their codes up to CODE_BITS.
+def _segment_links(nodes: DataFrame, dense: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b): nodes (node, code, size, segments) that agree in a segment up to one bit and in their codes up to CODE_BITS; and crowded rows.
 
     Each node is in a table for each segment and probes it with the ball of radius 1; of
     two values that differ in a bit, the one where it is 0 probes. A value that more than
     ``dense`` nodes have would bring pairs that grow with its square: there all meet the
-    least node, and those whose codes are within two bits are linked exactly, as
-    ``fingerprint_links`` does it.
+    least node, and the rows (triple, form, fp, size, holder) of the value are handed on,
+    for ``_crowd_links`` to compare the others.
     """
     ball = f"filter(transform(sequence(0, {SEGMENT_BITS - 1}), i -> IF((s & shiftleft(1L, i)) = 0, s | shiftleft(1L, i), NULL)), k -> k IS NOT NULL)"
-    table = nodes.select("node", "code", F.explode("segments").alias("key"))
-    probes = nodes.select("node", "code", F.expr(f"explode(flatten(transform(segments, s -> concat(array(s), {ball})))) AS key"))
+    table = nodes.select("node", "code", "size", F.explode("segments").alias("key"))
+    probes = nodes.select("node", "code", "size", F.expr(f"explode(flatten(transform(segments, s -> concat(array(s), {ball})))) AS key"))
     full = cut(table.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "code")).alias("lead")).filter(F.col("n") > dense).select("key", "lead"))
     crowded = not full.isEmpty()
     fetch = table.join(full.select("key"), "key", "left_anti") if crowded else table
     near = f"bit_count(code_a ^ code_b) <= {CODE_BITS} AND a <> b"
-    side = lambda df, s: df.withColumnsRenamed({"node": s, "code": f"code_{s}"})
+    side = lambda df, s: df.select("key", F.col("node").alias(s), F.col("code").alias(f"code_{s}"))
     links = side(probes, "a").join(side(fetch, "b"), "key").filter(near).select("a", "b")
+    others = nodes.select("node", "code", "size", F.expr(f"explode(flatten(transform(segments, s -> {ball}))) AS key"))
+    held = table.withColumn("holder", F.lit(True)).unionByName(others.withColumn("holder", F.lit(False))).join(full, "key")
     if crowded:
-        met = probes.join(full, "key")
-        led = met.select(F.col("node").alias("a"), F.col("code").alias("code_a"), F.col("lead.node").alias("b"), F.col("lead.code").alias("code_b"))
-        of_code = cut(met.groupBy(F.col("code").alias("fp")).agg(F.min("node").alias("first")))
-        same = met.join(of_code, F.col("code") == F.col("fp")).select(F.col("first").alias("a"), F.col("node").alias("b"))
-        first = lambda s: of_code.select(F.col("fp").alias(s), F.col("first").alias(f"first_{s}"))
-        tight = fingerprint_links(of_code.select("fp")).join(first("a"), "a").join(first("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
-        links = links.unionByName(led.filter(near).select("a", "b")).unionByName(same.filter("a <> b")).unionByName(tight)
-    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        led = held.select(F.col("node").alias("a"), F.col("code").alias("code_a"), F.col("lead.node").alias("b"), F.col("lead.code").alias("code_b"))
+        links = links.unionByName(led.filter(near).select("a", "b"))
+    crowd = held.select(F.col("key").alias("triple"), F.col("node").alias("form"), F.col("code").alias("fp"), "size", "holder")
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), crowd
+
+
+def _open_pairs(table: pa.Table, labels: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidates of rows sorted by key and size, one of them at least a holder of the key, that are not of one label."""
+    holder = table.column("holder").to_numpy(zero_copy_only=False)
+    keys, codes, sizes, parts = (table.column(c).to_numpy() for c in ("key", "fp", "size", "part"))
+    for x, y, gap in lines._candidates(keys, codes, sizes, parts, least, CODE_BITS):
+        good = (holder[x] | holder[y]) & (labels[x] != labels[y])
+        yield x[good], y[good], gap[good]
+
+
+OPEN = "triple bigint, form bigint, fp bigint, size int, holder boolean, label bigint"
+
+
+def _crowd_links(crowd: DataFrame, least: float, sets_of: Callable[[DataFrame], DataFrame], block: int = lines.BLOCK, full_block: int = lines.TEXT_BLOCK) -> DataFrame:
+    """(a, b): links that join all similar nodes that meet under a crowded value, of rows (triple, form, fp, size, holder, label).
+
+    Those of one label are joined already. Of a value with many rows, each two blocks
+    meet. Rows with something left to compare get their shingles and are compared where
+    they meet, so that no pairs are written down.
+    """
+    names = [x.split()[0] for x in OPEN.split(", ")]
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, _ in lines._whole_keys(batches, 1 << 18):
+            has = np.zeros(table.num_rows, bool)
+            for x, y, _ in _open_pairs(table, table.column("label").to_numpy(), least):
+                has[x] = has[y] = True
+            if has.any():
+                yield from table.select(names).filter(pa.array(has)).to_batches()
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, _ in lines._whole_keys(batches, 1 << 13):
+            sets = [np.frombuffer(v.as_py(), np.uint64) for v in table.column("shingles")]
+            forms = table.column("form").to_numpy()
+            names_, label = np.unique(table.column("label").to_numpy(), return_inverse=True)
+            root, some, n, made = np.arange(len(names_)), [], 0, []
+
+            def judge(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                return np.fromiter((_alike(sets[i], sets[j], least) for i, j in zip(x.tolist(), y.tolist())), bool, len(x))
+
+            for more in itertools.chain(_open_pairs(table, label, least), (None,)):
+                if more is not None:
+                    some.append(more)
+                    n += len(more[0])
+                if n and (more is None or n >= lines.PENDING):
+                    root, links = lines.joined(*(np.concatenate(c) for c in zip(*some)), label, root, judge)
+                    made += links
+                    some, n = [], 0
+            if made:
+                x, y = (forms[list(c)] for c in zip(*made))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    rows = lines._sorted(lines.in_blocks(crowd, block, 1 << 62))
+    still = stored(rows.mapInArrow(lean(left), OPEN).distinct(), "open")
+    sets = sets_of(still.select(F.col("form").alias("node")).distinct()).withColumnRenamed("node", "form")
+    # A shingle is eight bytes.
+    dealt = lines._sorted(lines.in_blocks(still, full_block, lines.BLOCK_CHARS // 8).join(sets, "form"))
+    return dealt.mapInArrow(lean(link), "a bigint, b bigint")
+
+
+def _alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= least * (len(x) + len(y) - both)
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SIMILAR_WORDS, least: float = MIN_SIMILARITY, dense: int = DENSE_BUCKET) -> DataFrame:
     """(k1, k2): one document of each near-duplicate group, under the numbers that ``packed.keyed`` gives it.
 
     Texts whose sets of ``width``-word shingles have a Jaccard similarity of ``least`` or
-    more are linked, if some segment of their longer SimHash agrees up to one bit; every
+    more are linked, if some segment of their longer SimHash agrees up to one bit and
+    CODE_BITS of 64 further bits differ at most, however many share the segment; every
     link is verified on the shingles themselves. Texts with equal sets, texts without a
     word among them, are one. Of each connected group the document of smallest id stays,
     rows without an id last, then that of least text hash. No rows: no rows.
@@ -201,37 +265,43 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = [distinct_shingles(t.as_py(), width) for t in batch.column("text")]
             made = [long_fingerprint(x) for x in found]
             nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
-            columns = [pa.array(nodes), pa.array([c for c, _ in made], pa.int64()), pa.array([x for _, x in made], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "k1", "k2")), *columns], names=["id", "k1", "k2", "node", "code", "segments"])
+            columns = [pa.array(nodes), pa.array([c for c, _ in made], pa.int64()), pa.array([*map(len, found)], pa.int32()), pa.array([x for _, x in made], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "k1", "k2")), *columns], names=["id", "k1", "k2", "node", "code", "size", "segments"])
 
-    rows = source.mapInArrow(lean(prints), "id bigint, k1 bigint, k2 bigint, node bigint, code bigint, segments array<bigint>")
+    rows = source.mapInArrow(lean(prints), "id bigint, k1 bigint, k2 bigint, node bigint, code bigint, size int, segments array<bigint>")
     lead = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "k2", "k1")).alias("lead")
-    nodes = stored(rows.groupBy("node").agg(lead, F.first("code").alias("code"), F.first("segments").alias("segments")), "nodes")
-    pairs = cut(_segment_links(nodes, dense))
+    nodes = stored(rows.groupBy("node").agg(lead, *(F.first(c).alias(c) for c in ("code", "size", "segments"))), "nodes")
+    pairs, crowd = _segment_links(nodes, dense)
+    pairs, crowd = cut(pairs), stored(crowd, "crowd")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = cut(wanted.join(nodes, "node").select("node", "lead.k1", "lead.k2"))
-    if wanted.count() * 24 <= BROADCAST_BYTES:
-        wanted = F.broadcast(wanted)
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [distinct_shingles(t.as_py(), width).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "shingles"])
 
-    # Equal rows have equal shingles; one of them is enough.
-    sets = stored(source.join(wanted, ["k1", "k2"]).select("node", "text").mapInArrow(lean(shingles), "node bigint, shingles binary").dropDuplicates(["node"]), "shingles")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        wanted = cut(wanted.join(nodes, "node").select("node", "lead.k1", "lead.k2"))
+        if wanted.count() * 24 <= BROADCAST_BYTES:
+            wanted = F.broadcast(wanted)
+        # Equal rows have equal shingles; one of them is enough.
+        return stored(source.join(wanted, ["k1", "k2"]).select("node", "text").mapInArrow(lean(shingles), "node bigint, shingles binary").dropDuplicates(["node"]), "shingles")
+
+    sets = sets_of(wanted)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= least * (len(x) + len(y) - both))
+                good.append(_alike(*(np.frombuffer(v.as_py(), np.uint64) for v in (x, y)), least))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"set_{s}"))
     linked = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(lean(verify), "a bigint, b bigint")
     labels = connected_components(cut(linked))
+    if not crowd.isEmpty():
+        known = crowd.join(labels.withColumnRenamed("node", "form"), "form", "left").withColumn("label", F.coalesce("label", "form"))
+        more = cut(_crowd_links(known, least, sets_of))
+        labels = connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
     grouped = nodes.select("node", "lead").join(labels, "node", "left")
     return grouped.groupBy(F.coalesce("label", "node").alias("group")).agg(F.min("lead").alias("lead")).select("lead.k1", "lead.k2")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bilens.llm import bpe, mixing, quality, queries, simhash
+from bilens.llm import bpe, mixing, packed, quality, queries, simhash
 
 from .test_corpus_operators import brute_components, brute_lines, sample_rows, words_of
 
@@ -100,6 +100,32 @@ def test_near_copies_are_found(spark, dense):
     assert truth <= kept <= truth + 0.1 * (len(rows) - truth)
 
 
+@pytest.mark.parametrize("dense", [2, simhash.DENSE_BUCKET])
+def test_crowded_segments_lose_no_link(spark, dense, monkeypatch):
+    """However many nodes share a segment, the groups are those of all pairs that segments and codes allow."""
+    monkeypatch.setattr(simhash._crowd_links, "__defaults__", (16, 8))
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choice("abdeghiklmnorstu") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+    rows, chains = [], [[rng.choice(vocabulary) for _ in range(150)] for _ in range(3)]
+    for k in range(150):
+        # Each is some words from the one before, so that ends of a chain are alike by those between alone.
+        words = chains[k % 3] = list(chains[k % 3])
+        for _ in range(rng.randint(1, 4)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        rows.append((k, " ".join(words)))
+    sets = [simhash.distinct_shingles(t, 5) for _, t in rows]
+    made = [simhash.long_fingerprint(x) for x in sets]
+
+    def linked(a, b):
+        (code, mine), (other, theirs) = made[a], made[b]
+        meet = any((x ^ y).bit_count() <= 1 for x, y in zip(mine, theirs)) and ((code ^ other) % 2**64).bit_count() <= simhash.CODE_BITS
+        return meet and simhash._alike(sets[a], sets[b], 0.8)
+
+    keys = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = keys.select("doc_id", *packed.row_keys("doc_id", "text")).join(simhash.representatives(keys, dense=dense), ["k1", "k2"])
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute_components(range(len(rows)), linked).values()))
+
+
 def test_clean_documents_stay(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
