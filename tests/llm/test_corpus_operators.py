@@ -725,6 +725,15 @@ def test_url_rules(spark, sf):
     assert {r["verdict"] for r in urls.filter_urls(pages.filter("page_id = 0")).collect()} == {"allow"}
 
 
+def test_suffix_shares_are_counted_only_where_they_are_used(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (2, "http://b.org/fr/"), (3, "http://c.com/")], "page_id bigint, url string")
+    labelled = spark.createDataFrame([("http://d.com/y", 1), ("http://e.org/z", 0)], "url string, block int")
+    counted = []
+    monkeypatch.setattr(urls, "cut", lambda df: counted.append(df) or df)
+    assert urls.filter_urls(pages).count() == 3 and not counted
+    assert urls.filter_urls(pages, labelled).count() == 3 and len(counted) == 1
+
+
 def test_trees_learn_from_labelled_urls(spark):
     rng = random.Random(3)
 
