@@ -421,6 +421,27 @@ def test_pairs_compared_at_once_are_judged_as_one_by_one():
     assert lines.Texts(texts).similar(x, y, 0.8).tolist() == want and 50 < sum(want) < len(want) - 50
 
 
+@pytest.mark.parametrize("shift", [0, 40, 90])
+def test_long_lines_are_compared_at_once(monkeypatch, shift):
+    """Lines of 600 to 1,900 characters that share a passage: none goes one by one, and edits away from the diagonal count."""
+    rng = random.Random(shift)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(500))
+    texts = []
+    for n in (100, 400, 1400):
+        for _ in range(12):
+            text = "x" + "".join(rng.choice("abcdefgh ") for _ in range(n)) + passage
+            edited = [rng.choice("stu") if rng.random() < rng.choice([0.1, 0.17]) else c for c in text]
+            texts += [text, "".join(edited[shift:]) + "y" * shift, passage[:-shift or None] + text[500:] + "z" * shift]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if a // 36 == b // 36]
+    x, y = (np.array(c) for c in zip(*pairs))
+    want = [1 - lines.edit_distance(texts[a], texts[b]) / max(len(texts[a]), len(texts[b])) >= 0.8 for a, b in pairs]
+    alone = []
+    similar = lines.similar
+    monkeypatch.setattr(lines, "similar", lambda a, b, least: alone.append((a, b)) or similar(a, b, least))
+    assert lines.Texts(texts).similar(x, y, 0.8).tolist() == want and 10 < sum(want) < len(want) - 50
+    assert len(alone) < 40
+
+
 def test_lines_of_the_sample_and_of_nothing(docs, rows, none):
     same(lines.dedup_lines(docs), brute_lines(rows))
     kept = lines.dedup_lines(docs, keep=["lang", "id"])
