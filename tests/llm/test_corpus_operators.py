@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -404,6 +405,63 @@ def test_crowded_triples_lose_no_link(spark, block):
     assert block == 3 or len(linked) < len(true)
 
 
+def by_bucket(batches):
+    rows = sorted((x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), key=lambda x: x[0])
+    return iter([pa.RecordBatch.from_arrays([pa.array([x[0]], pa.int32()), pa.array([x[1]], pa.binary())], names=["bucket", "blob"]) for x in rows])
+
+
+@pytest.mark.parametrize("held, limit", [(7, 40), (1 << 16, 1 << 20)])
+def test_packed_lines_and_triples_are_all_there(monkeypatch, held, limit):
+    """Each form once, with its first occurrence, and every other occurrence; each triple's forms, also where a bucket is not held whole."""
+    monkeypatch.setattr(lines, "HELD_LINES", held)
+    monkeypatch.setattr(lines, "HELD_TRIPLES", held)
+    monkeypatch.setattr(lines, "LINES_AT_ONCE", held)
+    monkeypatch.setattr(lines, "BUCKET_ROWS", limit)
+    monkeypatch.setattr(packed, "SCAN_BYTES", 300)
+    given = [(i, signed(xxhash.xxh64_intdigest(t.encode(), 42)) if t else 42, t) for i, t, *_ in line_rows()]
+    # Equal rows, and another row with the same lines.
+    given += given[3:9] + [(500, 7, given[3][2])]
+    places = defaultdict(set)
+    for i, mark, t in given:
+        for n, plain in enumerate(lines.normalised_lines(t or "")):
+            if plain:
+                places[plain].add((i, mark, n))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*given[a : a + 9]), (pa.int64(), pa.int64(), pa.string()))], names=["id", "mark", "text"]) for a in range(0, len(given), 9)]
+    rows = [r for b in lines._form_rows(by_bucket(lines._line_rows(5)(iter(batches)))) for r in b.to_pylist()]
+    forms = {(r["id"], r["mark"], r["line"]): r for r in rows if r["first"]}
+    first = {min(x): plain for plain, x in places.items()}
+    assert set(forms) == set(first) and len(forms) == sum(r["first"] for r in rows)
+    assert {(r["id"], r["mark"], r["line"]) for r in rows if not r["first"]} == {x for at in places.values() for x in at if x != min(at)}
+    for at, plain in first.items():
+        r, short = forms[at], plain.count(b" ") + 1 < lines.FUZZY_WORDS
+        assert (r["size"], r["short"]) == (len(plain.decode()), plain.decode() if short else None)
+        assert (r["fp"], r["sketch"]) == ((None, None) if short else (int(lines.line_codes([plain])[0]), lines.line_sketches([plain])[0].tolist()))
+    long = [(k, r) for k, r in enumerate(forms.values()) if r["short"] is None]
+    columns = [[k for k, _ in long], *([r[c] for _, r in long] for c in ("fp", "size", "sketch"))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())))], names=["form", "fp", "size", "sketch"])
+    met = [r for b in lines._meeting_packed(0.8, 3)(by_bucket(lines._triple_rows(2)(iter([batch.slice(0, 20), batch.slice(20)])))) for r in b.to_pylist()]
+    holders = defaultdict(list)
+    for k, r in long:
+        for t in r["sketch"]:
+            holders[t].append((k, r))
+    alike = lambda a, b: ((a["fp"] ^ b["fp"]) % 2**64).bit_count() <= lines.CODE_BITS and min(a["size"], b["size"]) >= 0.8 * max(a["size"], b["size"])
+    want = {(t, k, True) for t, x in holders.items() if len(x) > 3 for k, _ in x}
+    want |= {(t, k, False) for t, x in holders.items() if len(x) <= 3 for k, r in x for j, q in x if j != k and alike(r, q)}
+    got = [(r["triple"], r["form"], r["crowded"]) for r in met]
+    assert set(got) == want and len(got) == len(want) and len({c for *_, c in want}) == 2
+
+
+def test_tables_of_lines_are_deleted_before_the_result_is_read(spark, docs, rows):
+    """What is found is small; the forms of all lines are not there beside the texts that are joined with it."""
+    from bilens.llm import storage
+
+    made = len(storage._made)
+    found = lines.dedup_lines(docs)
+    assert len(storage._made) == made
+    same(found, brute_lines(rows))
+    assert found.count() == len(rows)
+
+
 def test_pairs_compared_at_once_are_judged_as_one_by_one():
     rng = random.Random(4)
     texts = ["", "a", "\U0001f600b", "x" * 9000, "x" * 8000]
